@@ -239,3 +239,25 @@ def grp_of(t: pa.Table) -> int:
 def by_id(t: pa.Table) -> pa.Table:
     """By doc_id, null last; rows with one id by text, so that every pass sees one order."""
     return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks() if t.num_rows else t
+
+
+def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text index of every n-word shingle; a text of fewer words is one shingle, none without words."""
+    at = np.flatnonzero(w.left >= n)
+    hashes, docs = [w.grams(n)[at]], [w.doc[at]]
+    for k in range(1, n):
+        short = np.flatnonzero(w.count == k)
+        if len(short):
+            hashes.append(w.grams(k)[w.first[short]])
+            docs.append(short)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, by text then hash, and where each text's begin (and the total)."""
+    h, doc = shingles(w, n)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[keep], np.searchsorted(doc[keep], np.arange(len(w.count) + 1))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,20 @@ def parts(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in all texts: one narrow aggregate, it sizes the blocks of the block exchange."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
+
+
+class Shared:
+    """A broadcast of any object. Spark pickles broadcasts by reference to their modules; these bytes carry
+    this package's classes along."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "got" not in self.__dict__:
+            self.got = pickle.loads(self.raw.value)
+        return self.got
+
+    def __getstate__(self):
+        return {"raw": self.raw}

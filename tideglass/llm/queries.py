@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm.common import table
+from tideglass.llm.decontaminate import contained_items
+from tideglass.llm.language import identify_language
 from tideglass.llm.lm_score import lm_score
+from tideglass.llm.mixing import mix_sources
+from tideglass.llm.quality import score_quality
+from tideglass.llm.sharding import shard
 from tideglass.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,5 +26,29 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_lm_score)}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), temperature=2.0, epochs=1.0, seed="mix")
+    return mixed.select("doc_id", "source", "copies", "copy", "shuffle_key")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, threshold=0.75)
+
+
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op6_quality, op8_language, op9_decontaminate, op10_shard)
+}
 SQL: dict[str, str] = {}

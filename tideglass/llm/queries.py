@@ -11,6 +11,7 @@ from tideglass.llm.decontaminate import contained_items
 from tideglass.llm.language import identify_language
 from tideglass.llm.lm_score import lm_score
 from tideglass.llm.mixing import mix_sources
+from tideglass.llm.pii import digest, find_pii
 from tideglass.llm.quality import score_quality
 from tideglass.llm.sharding import shard
 from tideglass.llm.substring_dedup import substring_dedup
@@ -31,6 +32,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "shuffle_key")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +54,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op6_quality, op8_language, op9_decontaminate, op10_shard)
+    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op8_language, op9_decontaminate, op10_shard)
 }
 SQL: dict[str, str] = {}

@@ -203,23 +203,25 @@ def unbits(raw: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=4), count=int(np.frombuffer(raw, np.uint32, 1)[0])).astype(bool)
 
 
-class Grouped:
-    """Documents dealt to groups of about GROUP_BYTES of text. The exchange below ``rows`` is the same for
-    every use within one query, so Spark shuffles the texts once."""
+class Dealt:
+    """Rows dealt to groups by ``grp``; ``order`` names the columns that sort a group's rows, so that every
+    pass sees one order. The exchange below ``rows`` is the same for every use within one query, so Spark
+    shuffles the rows once."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES):
-        n = text_bytes(docs, text)
-        self.groups = max(1, -(-n // group_bytes))
-        self.ranges = 1 << max(0, (n // range_bytes)).bit_length()
-        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.groups))
-        self.rows = rows.withColumn("grp", grp).repartition(max(parts(docs.sparkSession), 1), "grp")
+    def __init__(self, rows: DataFrame, groups: int, ranges: int, order: list[str]):
+        self.groups, self.ranges, self.order = groups, ranges, order
+        self.rows = rows.repartition(parts(rows.sparkSession), "grp")
 
     def emit(self, fn, heard: DataFrame | None = None, schema: str = CELL_DDL) -> DataFrame:
-        """``fn(grp, documents, answers)`` for each group; ``heard`` has the answers."""
+        """``fn(grp, rows, answers)`` for each group; ``heard`` has the answers."""
+        by = [(c, "ascending") for c in self.order]
+
+        def ordered(t: pa.Table) -> pa.Table:
+            return t.sort_by(by).combine_chunks() if t.num_rows else t
+
         if heard is None:
-            return self.rows.groupBy("grp").applyInArrow(lambda t: fn(grp_of(t), by_id(t), None), schema)
-        return self.rows.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: fn(grp_of(t), by_id(t), a), schema)
+            return self.rows.groupBy("grp").applyInArrow(lambda t: fn(grp_of(t), ordered(t), None), schema)
+        return self.rows.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: fn(grp_of(t), ordered(t), a), schema)
 
     @staticmethod
     def own(asked: DataFrame, fn) -> DataFrame:
@@ -232,13 +234,19 @@ class Grouped:
         return asked.groupBy("rng", "level").applyInArrow(answer, CELL_DDL)
 
 
-def grp_of(t: pa.Table) -> int:
-    return t.column("grp")[0].as_py() if t.num_rows else -1
+class Grouped(Dealt):
+    """Documents dealt to groups of about ``group_bytes`` of text."""
 
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES):
+        n = text_bytes(docs, text)
+        groups = max(1, -(-n // group_bytes))
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+        super().__init__(rows, groups, 1 << max(0, n // range_bytes).bit_length(), ["doc_id", "text"])
 
-def by_id(t: pa.Table) -> pa.Table:
-    """By doc_id, null last; rows with one id by text, so that every pass sees one order."""
-    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks() if t.num_rows else t
+
+def grp_of(t: pa.Table) -> int:
+    return t.column("grp")[0].as_py() if t.num_rows else -1
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from tideglass.llm.decontaminate import contained_items
 from tideglass.llm.language import identify_language
 from tideglass.llm.lm_score import lm_score
 from tideglass.llm.mixing import mix_sources
+from tideglass.llm.near_dup import near_duplicates
 from tideglass.llm.pii import digest, find_pii
 from tideglass.llm.quality import score_quality
 from tideglass.llm.sharding import shard
@@ -40,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op8_language, op9_decontaminate, op10_shard)
+    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op7_near_duplicates, op8_language, op9_decontaminate, op10_shard)
 }
 SQL: dict[str, str] = {}

@@ -269,3 +269,48 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[keep], np.searchsorted(doc[keep], np.arange(len(w.count) + 1))
+
+
+def whole_groups(batches, fn, keys, least: int = 4096):
+    """Apply ``fn`` to runs of sorted batches that end where the keys change."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) < least:
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks()
+        last = [t.column(k)[t.num_rows - 1].as_py() for k in keys]
+        same = np.logical_and.reduce([t.column(k).to_numpy() == x for k, x in zip(keys, last, strict=True)])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield from fn(t.slice(0, cut)).to_batches()
+            kept = t.slice(cut).to_batches()
+    if kept:
+        yield from fn(pa.Table.from_batches(kept).combine_chunks()).to_batches()
+
+
+def forest(nodes: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a maximum spanning forest, by Boruvka rounds."""
+    comp, rank, taken = np.arange(nodes), np.empty(len(a), np.int64), []
+    rank[np.lexsort((a, b, weight))] = np.arange(len(a))
+    edge_of = np.argsort(rank)
+    while True:
+        live = np.flatnonzero(comp[a] != comp[b])
+        if not len(live):
+            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        best = np.full(nodes, -1)
+        np.maximum.at(best, comp[a[live]], rank[live])
+        np.maximum.at(best, comp[b[live]], rank[live])
+        edges = edge_of[np.unique(best[best >= 0])]
+        taken.append(edges)
+        while True:
+            low = np.minimum(comp[a[edges]], comp[b[edges]])
+            new = comp.copy()
+            np.minimum.at(new, comp[a[edges]], low)
+            np.minimum.at(new, comp[b[edges]], low)
+            new = new[new[comp]]
+            if (new == comp).all():
+                break
+            comp = new

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.blocks import CHECK_STEP, U64, Dealt, Words, answers, cells, distinct, mix, planes, shingle_sets, slices, to_cells, uncell, unplanes
-from tideglass.llm.common import Shared, materialise, parts
+from tideglass.llm.blocks import (
+    CHECK_STEP, U64, Dealt, Words, answers, cells, distinct, forest, mix, planes, shingle_sets, slices, to_cells, uncell, unplanes, whole_groups,
+)
+from tideglass.llm.common import materialise, parts
 from tideglass.llm.graph import components
 
 #: 256 registers; 51 bands of 5: two sets with Jaccard 0.75 share no band with a probability of 1e-6.
@@ -163,31 +165,6 @@ def pairs_within(size: np.ndarray, most: int = 100_000):
         step += 1
 
 
-def forest(nodes: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Edges of a maximum spanning forest, by Boruvka rounds."""
-    comp, rank, taken = np.arange(nodes), np.empty(len(a), np.int64), []
-    rank[np.lexsort((a, b, weight))] = np.arange(len(a))
-    edge_of = np.argsort(rank)
-    while True:
-        live = np.flatnonzero(comp[a] != comp[b])
-        if not len(live):
-            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
-        best = np.full(nodes, -1)
-        np.maximum.at(best, comp[a[live]], rank[live])
-        np.maximum.at(best, comp[b[live]], rank[live])
-        edges = edge_of[np.unique(best[best >= 0])]
-        taken.append(edges)
-        while True:
-            low = np.minimum(comp[a[edges]], comp[b[edges]])
-            new = comp.copy()
-            np.minimum.at(new, comp[a[edges]], low)
-            np.minimum.at(new, comp[b[edges]], low)
-            new = new[new[comp]]
-            if (new == comp).all():
-                break
-            comp = new
-
-
 def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> DataFrame:
     """Pairs (a < b) of different components that share a band and may be similar enough. With ``spanning``
     a block only gives the edges of its maximum spanning forest, so a group of m copies gives m - 1."""
@@ -212,26 +189,6 @@ def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> Data
     return rows.mapInArrow(lambda batches: whole_groups(batches, compare, ("key", "i", "j")), PAIR_DDL).distinct()
 
 
-def whole_groups(batches, fn, keys, least: int = 4096):
-    """Apply ``fn`` to runs of sorted batches that end where the keys change."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kept.append(batch)
-        if sum(b.num_rows for b in kept) < least:
-            continue
-        t = pa.Table.from_batches(kept).combine_chunks()
-        last = [t.column(k)[t.num_rows - 1].as_py() for k in keys]
-        same = np.logical_and.reduce([t.column(k).to_numpy() == x for k, x in zip(keys, last, strict=True)])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield from fn(t.slice(0, cut)).to_batches()
-            kept = t.slice(cut).to_batches()
-    if kept:
-        yield from fn(pa.Table.from_batches(kept).combine_chunks()).to_batches()
-
-
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Those pairs for which 100 * intersection >= percent * union, on full shingle sets."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm.common import table
 from tideglass.llm.decontaminate import contained_items
+from tideglass.llm.embedding_dedup import embedding_duplicates
 from tideglass.llm.language import identify_language
 from tideglass.llm.lm_score import lm_score
 from tideglass.llm.mixing import mix_sources
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=20, keep_text=False)
 
 
+def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
 
@@ -59,6 +64,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op7_near_duplicates, op8_language, op9_decontaminate, op10_shard)
+    f.__name__: f for f in (op1_substring_dedup, op2_embedding_duplicates, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op7_near_duplicates, op8_language, op9_decontaminate, op10_shard)
 }
 SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,17 @@ class Shared:
 
     def __getstate__(self):
         return {"raw": self.raw}
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows for which ``keep(batch) -> mask`` holds, columns and their order untouched, without a shuffle.
+
+    ``keep`` gets batches whose columns are named c0, c1, ... as names may repeat up to case.
+    """
+
+    def run(batches):
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            yield batch.filter(pa.array(keep(plain)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import U64, Words, mix, shingle_sets, shingles, slices
-from tideglass.llm.common import Shared, text_bytes
+from tideglass.llm.common import Shared, filter_rows, text_bytes
 
 HASHES, MISS = 128, 1e-7
 ITEM_BYTES = 8 << 20
@@ -102,37 +102,68 @@ def contained_items(
     than ``width`` words are one shingle, none no shingle: such an item is in no document. Null ids stay
     null. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = None
+    for index in indexes(items, width, threshold, item_id, item_text, item_bytes):
+        found = rows.mapInArrow(lambda batches, index=index: search_batches(batches, index.value), DDL)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.75, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    item_bytes: int = ITEM_BYTES,
+) -> DataFrame:
+    """The rows, with all their columns, that hold no item; nothing is shuffled."""
+    at = f"c{docs.columns.index(text)}"
+    for index in indexes(items, width, threshold, item_id, item_text, item_bytes):
+
+        def clean(batch, index=index):
+            keep = np.ones(batch.num_rows, bool)
+            start = 0
+            for part in slices(batch, text=at):
+                keep[[start + row for row, _, _ in contained(part.column(at), index.value)]] = False
+                start += part.num_rows
+            return keep
+
+        docs = filter_rows(docs, clean)
+    return docs
+
+
+def indexes(items: DataFrame, width: int, threshold: float, item_id: str, item_text: str, item_bytes: int) -> list[Shared]:
+    """The items' indexes, broadcast in blocks of about ``item_bytes`` of text."""
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     blocks = max(1, -(-text_bytes(asked) // item_bytes))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
+    out = []
     for b in range(blocks):
         block = asked.filter(F.col("block") == b).orderBy("item_id", "text").collect()
-        shared = Shared(spark, Index([r.item_id for r in block], [r.text for r in block], width, threshold))
-        found = rows.mapInArrow(lambda batches, shared=shared: search_batches(batches, shared.value), DDL)
-        out = found if out is None else out.unionByName(found)
+        out.append(Shared(items.sparkSession, Index([r.item_id for r in block], [r.text for r in block], width, threshold)))
     return out
 
 
+def contained(texts: pa.Array, index: Index):
+    """(row, item, shared shingles) for every text that holds an item."""
+    w = Words(texts, lower=True)
+    h, doc = shingles(w, index.width)
+    hit = np.flatnonzero(index.maybe[(h >> U64(44)).astype(np.int64)])
+    hit = hit[np.isin(h[hit], index.universe)]
+    order = hit[np.argsort(doc[hit], kind="stable")]
+    h, doc = h[order], doc[order]
+    edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        own = np.unique(h[i:j])
+        if len(own) >= index.least:
+            for k, n in index.search(own):
+                yield int(doc[i]), k, n
+
+
 def search_batches(batches, index: Index):
     for batch in batches:
         for part in slices(batch):
-            w = Words(part.column("text"), lower=True)
-            h, doc = shingles(w, index.width)
-            hit = np.flatnonzero(index.maybe[(h >> U64(44)).astype(np.int64)])
-            hit = hit[np.isin(h[hit], index.universe)]
-            h, doc = h[hit], doc[hit]
-            order = np.argsort(doc, kind="stable")
-            h, doc = h[order], doc[order]
-            edges = np.flatnonzero(np.diff(doc, prepend=-1, append=len(w.count))) if len(doc) else np.zeros(1, int)
             ids, rows = part.column("doc_id").to_pylist(), []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                own = np.unique(h[i:j])
-                if len(own) >= index.least:
-                    for k, n in index.search(own):
-                        size = len(index.sets[k])
-                        rows.append((ids[doc[i]], index.ids[k], size, n, n / size))
+            for row, k, n in contained(part.column("text"), index):
+                size = len(index.sets[k])
+                rows.append((ids[row], index.ids[k], size, n, n / size))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(OUT)], schema=OUT)

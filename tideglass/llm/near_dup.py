@@ -258,3 +258,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id:
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that near_duplicates keeps, and one of those that repeat an id.
+
+    Rows with a null id stay. Ids to drop are broadcast up to BROADCAST_IDS, else joined by shuffle.
+    """
+    classes = materialise(near_duplicates(docs, width, percent, doc_id, text), "near-classes")
+    out = without(docs, classes.filter("NOT kept").select("doc_id").distinct(), doc_id)
+    again = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = materialise(again, "near-repeated")
+    if again.limit(1).count():
+        repeated = out.join(again.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left_semi")
+        out = without(out, again, doc_id).unionByName(repeated.dropDuplicates([doc_id]))
+    return out
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    ids = ids.withColumnRenamed("doc_id", "__id")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("__id"), "left_anti")

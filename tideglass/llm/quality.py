@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import SPACE, U64, Words, mix, slices, text_buffer
-from tideglass.llm.common import Shared
+from tideglass.llm.common import Shared, filter_rows
 
 BITS = 18
 #: At most about this many labelled rows are fitted; beyond it a hash of the id picks the rows.
@@ -171,14 +171,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text scores ``least`` or more; nothing is shuffled."""
     model = Shared(docs.sparkSession, fit_quality(docs, labels, fit_rows, doc_id, text, label))
-    at = docs.columns.index(text)
+    at = f"c{docs.columns.index(text)}"
 
-    def keep(batches):
-        for batch in batches:
-            whole = pa.Table.from_batches([batch]).rename_columns([f"c{i}" for i in range(batch.num_columns)]).to_batches()
-            for b in whole:
-                for part in slices(b, text=f"c{at}"):
-                    good = part.filter(pa.array(model.value.scores(*indicators(part.column(at))) >= least))
-                    yield pa.RecordBatch.from_arrays(good.columns, names=batch.schema.names)
+    def keep(batch):
+        return np.concatenate([model.value.scores(*indicators(p.column(at).cast(pa.string()))) >= least for p in slices(batch, text=at)] or [np.zeros(0, bool)])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_rows(docs, keep)

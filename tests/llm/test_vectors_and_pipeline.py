@@ -11,6 +11,7 @@ from tideglass.llm.graph import components
 
 def brute(rows):
     ok = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ok = [(i, x / np.abs(x).max()) for i, x in ok]
     n, comp = dict.fromkeys((i for i, _ in rows), 0), {i: i for i, _ in rows}
     links = []
     for k, (i, x) in enumerate(ok):

@@ -160,6 +160,15 @@ def cuts(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(owner, np.arange(ranges + 1))
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Entropy-coded: the planes of deltas and counts have few bits a byte, which LZ codes alone leave."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True) if raw else raw
+
+
 CELL = pa.schema([("grp", pa.int64()), ("rng", pa.int64()), ("level", pa.int32()), ("data", pa.binary())])
 CELL_DDL = "grp long, rng long, level int, data binary"
 
@@ -175,7 +184,8 @@ def cells(grp: int, level: int, hashes: np.ndarray, ranges: int, *extra: np.ndar
 
 
 def to_cells(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CELL)], schema=CELL)
+    cols = [[r[i] for r in rows] for i in range(3)] + [[squeeze(r[3]) for r in rows]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CELL, strict=True)], schema=CELL)
 
 
 def uncell(raw: bytes, *dtypes) -> list[np.ndarray]:
@@ -189,7 +199,7 @@ def uncell(raw: bytes, *dtypes) -> list[np.ndarray]:
 def answers(table: pa.Table, level: int, unpack) -> np.ndarray:
     """A group's answers for one level, in the order of its own sorted hashes."""
     got = sorted((r, d) for r, v, d in zip(*(table.column(c).to_pylist() for c in ("rng", "level", "data")), strict=True) if v == level)
-    return np.concatenate([unpack(d) for _, d in got]) if got else unpack(b"")
+    return np.concatenate([unpack(expand(d)) for _, d in got]) if got else unpack(b"")
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -228,7 +238,7 @@ class Dealt:
         """``fn(cells of one range) -> one answer a cell`` for each hash range (and level, if they differ)."""
 
         def answer(t: pa.Table) -> pa.Table:
-            raw = t.column("data").to_pylist()
+            raw = [expand(x) for x in t.column("data").to_pylist()]
             return to_cells(list(zip(t.column("grp").to_pylist(), t.column("rng").to_pylist(), t.column("level").to_pylist(), fn(raw), strict=True)))
 
         return asked.groupBy("rng", "level").applyInArrow(answer, CELL_DDL)

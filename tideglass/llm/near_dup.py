@@ -148,7 +148,8 @@ def likely(sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least:
     a, b = a[ok], b[ok]
     for cut in (64, REGISTERS):
         est, used = estimates(sig[:, :cut], a, b)
-        ok = est >= least - 0.02 - 4 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+        union = np.maximum((n[a] + n[b]) / (1 + least), used)  # registers are drawn from it without return
+        ok = est >= least - 0.01 - 4 * np.sqrt(least * (1 - least) / np.maximum(used, 1) * (1 - used / union))
         a, b, est = a[ok], b[ok], est[ok]
     return a, b, est
 

@@ -14,14 +14,15 @@ from tideglass.llm.common import materialise, parts
 from tideglass.llm.graph import components
 
 #: 256 registers; 51 bands of 5: two sets with Jaccard 0.75 share no band with a probability of 1e-6.
-BUCKET_BITS, MANTISSA_BITS, BAND, BANDS = 8, 10, 5, 51
+#: Bands compare whole registers; estimates compare a byte of each.
+BUCKET_BITS, MANTISSA_BITS, BAND, BANDS = 8, 24, 5, 51
 REGISTERS = 1 << BUCKET_BITS
 #: Sets dealt to one group, members of a band's bucket compared in one block.
 GROUP_ROWS, RANGE_ROWS, BLOCK = 4096, 32768, 512
 #: Beyond this many ids the texts to verify are found by a shuffled join instead of a broadcast.
 BROADCAST_IDS = 200_000
-SIG_DDL = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
-ROW_DDL = "key long, i int, j int, block int, rep long, comp long, n long, sig binary"
+SIG_DDL = "doc_id long, n_shingles long, f1 long, f2 long, keys binary, sig binary"
+ROW_DDL = "key long, i int, j int, block int, rep long, comp long, n long, tags binary, sig binary"
 PAIR_DDL = "a long, b long"
 
 
@@ -34,18 +35,18 @@ def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     rest = (h[at] << U64(BUCKET_BITS)) | U64(1)
     zeros = 64 - np.frexp(rest.astype(np.float64))[1]
     mantissa = (rest << np.minimum(zeros + 1, 63).astype(U64)) >> U64(64 - MANTISSA_BITS)
-    out = np.zeros((len(first) - 1) * REGISTERS, np.uint16)
+    out = np.zeros((len(first) - 1) * REGISTERS, np.uint32)
     out[cell[at]] = 1 + (zeros << MANTISSA_BITS) + mantissa.astype(np.int64)
     return out.reshape(-1, REGISTERS)
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys by set and band, and which bands have a register at all."""
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys by set and band; 0 for a band without any register."""
     cut = regs[:, : BAND * BANDS].reshape(len(regs), BANDS, BAND)
     keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U64) * CHECK_STEP), cut.shape[:2])
     for k in range(BAND):
         keys = mix(keys ^ cut[:, :, k].astype(U64) * U64(0x9E3779B97F4A7C15))
-    return keys, cut.any(axis=2)
+    return np.where(cut.any(axis=2), keys | U64(1), U64(0))
 
 
 def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -60,15 +61,17 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
                 for salt in mix(np.arange(1, 3, dtype=U64)):
                     sums = np.append(U64(0), np.cumsum(mix(h ^ salt), dtype=U64))
                     prints.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
-                sigs = [r.tobytes() for r in registers(h, first)]
-                cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                regs = registers(h, first)
+                keys = [k.tobytes() for k in band_keys(regs)]
+                sigs = [r.tobytes() for r in np.where(regs == 0, 0, 1 + regs % 255).astype(np.uint8)]
+                cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "keys", "sig"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, SIG_DDL)
 
 
-def unpack(t: pa.Table, dtype=np.uint16) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype).reshape(-1, REGISTERS)
+def unpack(t: pa.Table, column: str, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), dtype).reshape(-1, width)
 
 
 def bucket_rows(classes: DataFrame, n: int) -> DataFrame:
@@ -81,9 +84,8 @@ def bucket_rows(classes: DataFrame, n: int) -> DataFrame:
     ranges = dealt.ranges
 
     def keyed(t: pa.Table):
-        keys, full = band_keys(unpack(t))
-        row = np.nonzero(full)[0]
-        return row, distinct(keys[full])
+        keys = unpack(t, "keys", U64, BANDS)
+        return np.nonzero(keys)[0], distinct(keys[keys != 0])
 
     def ask(grp, t, _):
         row, (h, _, where, count) = keyed(t)
@@ -108,17 +110,16 @@ def bucket_rows(classes: DataFrame, n: int) -> DataFrame:
         again = np.repeat(np.arange(len(row)), blocks)
         other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         row, key, own = row[again], key[again], own[again]
-        regs = unpack(t)
-        small = [x.tobytes() for x in np.where(regs == 0, 0, 1 + regs % 255).astype(np.uint8)]
+        tags = pa.array([x.tobytes() for x in unpack(t, "keys", U64, BANDS).astype(np.uint32)], pa.binary())
         cols = [key.view(np.int64), np.minimum(own, other), np.maximum(own, other), own, rep[row], t.column("comp").to_numpy()[row], t.column("n").to_numpy()[row]]
-        arrays = [pa.array(c, k) for c, k in zip(cols, ROW_TYPES[:-1], strict=True)]
-        return pa.Table.from_arrays([*arrays, pa.array(small, pa.binary()).take(pa.array(row))], names=ROW_NAMES)
+        arrays = [pa.array(c, k) for c, k in zip(cols, ROW_TYPES, strict=False)]
+        return pa.Table.from_arrays([*arrays, tags.take(pa.array(row)), t.column("sig").combine_chunks().take(pa.array(row))], names=ROW_NAMES)
 
     return dealt.emit(finish, Dealt.own(dealt.emit(ask), own_buckets), ROW_DDL)
 
 
-ROW_NAMES = ["key", "i", "j", "block", "rep", "comp", "n", "sig"]
-ROW_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+ROW_NAMES = ["key", "i", "j", "block", "rep", "comp", "n", "tags", "sig"]
+ROW_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def own_buckets(raw: list[bytes]) -> list[bytes]:
@@ -168,7 +169,8 @@ def pairs_within(size: np.ndarray, most: int = 100_000):
 
 def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> DataFrame:
     """Pairs (a < b) of different components that share a band and may be similar enough. With ``spanning``
-    a block only gives the edges of its maximum spanning forest, so a group of m copies gives m - 1."""
+    a block only gives the edges of its maximum spanning forest, so a group of m copies gives m - 1; without,
+    it gives every pair, in the first of the bands that the two share."""
     rows = bucket_rows(classes, n)
     rows = rows.repartition(parts(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -177,7 +179,7 @@ def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> Data
         at = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         size = np.diff(np.append(at, t.num_rows))
         rep, comp, n, block = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
-        apart, sig, found = key[1] != key[2], unpack(t, np.uint8), []
+        apart, sig, found = key[1] != key[2], unpack(t, "sig", np.uint8, REGISTERS), []
         for a, b in pairs_within(size):
             ok = (comp[a] != comp[b]) & ~(apart[a] & (block[a] == block[b]))
             found.append(likely(sig, n, a[ok], b[ok], least))
@@ -185,6 +187,16 @@ def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> Data
         if spanning and len(a):
             keep = forest(t.num_rows, a, b, est)
             a, b = a[keep], b[keep]
+        elif len(a):
+            tags = unpack(t, "tags", np.uint32, BANDS)
+            here = key[0].view(U64).astype(np.uint32)[a]
+            found = []
+            for k in range(0, len(a), 100_000):
+                x, y = tags[a[k : k + 100_000]], tags[b[k : k + 100_000]]
+                first = ((x == y) & (x != 0)).argmax(axis=1)
+                found.append(x[np.arange(len(x)), first] == here[k : k + 100_000])
+            first = np.concatenate(found)
+            a, b = a[first], b[first]
         return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
     return rows.mapInArrow(lambda batches: whole_groups(batches, compare, ("key", "i", "j")), PAIR_DDL).distinct()
@@ -240,15 +252,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id:
     least = percent / 100
     signed = materialise(signatures(docs, width, doc_id, text), "near-signatures")
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    classes = materialise(classes.select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")), "near-classes")
+    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "keys", "sig")).alias("m"))
+    classes = materialise(classes.select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), "m.keys", "m.sig"), "near-classes")
     n = classes.count()
-    sets = classes.select("rep", F.col("rep").alias("comp"), "n", "sig")
+    sets = classes.select("rep", F.col("rep").alias("comp"), "n", "keys", "sig")
     tried = materialise(candidates(sets, n, least, True), "near-pairs")
     links = materialise(verified(tried, docs, width, percent, doc_id, text), "near-links")
     found = components(links)
     joined = sets.drop("comp").join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
-    joined = materialise(joined.select("rep", F.coalesce("comp", "rep").alias("comp"), "n", "sig"), "near-labelled")
+    joined = materialise(joined.select("rep", F.coalesce("comp", "rep").alias("comp"), "n", "keys", "sig"), "near-labelled")
     more = materialise(candidates(joined, n, least, False).join(tried, ["a", "b"], "left_anti"), "near-pairs")
     if more.limit(1).count():
         links = links.unionByName(verified(more, docs, width, percent, doc_id, text))

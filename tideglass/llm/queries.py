@@ -13,6 +13,7 @@ from tideglass.llm.language import identify_language
 from tideglass.llm.lm_score import lm_score
 from tideglass.llm.mixing import mix_sources
 from tideglass.llm.near_dup import near_duplicates
+from tideglass.llm.oracle import SQL  # noqa: F401
 from tideglass.llm.pii import digest, find_pii
 from tideglass.llm.quality import score_quality
 from tideglass.llm.sharding import shard
@@ -66,4 +67,4 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_substring_dedup, op2_embedding_duplicates, op3_lm_score, op4_mix_sources, op5_pii, op6_quality, op7_near_duplicates, op8_language, op9_decontaminate, op10_shard)
 }
-SQL: dict[str, str] = {}
+

@@ -68,7 +68,7 @@ def test_a_late_query_is_cancelled_and_the_endpoint_goes_on(spark):
 
 
 def test_values_have_json_forms_or_the_query_fails(store):
-    r = store[1].query("SELECT double('NaN') a, array(1, null) b, decimal('1.50') c, decimal('2.00') d, date'2024-01-02' e, timestamp'1970-01-01 00:00:01Z' f, null g")
+    r = store[1].query("SELECT double('NaN') a, array(1, null) b, CAST('1.50' AS DECIMAL(5,2)) c, CAST('2.00' AS DECIMAL(5,2)) d, date'2024-01-02' e, timestamp'1970-01-01 00:00:01Z' f, null g")
     assert json.loads(json.dumps(r.to_dict()))["rows"] == [[None, [1, None], 1.5, 2, "2024-01-02", 1_000_000, None]]
     with pytest.raises(QueryError, match="map"):
         store[1].query("SELECT map('a', 1) m")

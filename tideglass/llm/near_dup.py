@@ -169,8 +169,10 @@ def pairs_within(size: np.ndarray, most: int = 100_000):
 
 def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> DataFrame:
     """Pairs (a < b) of different components that share a band and may be similar enough. With ``spanning``
-    a block only gives the edges of its maximum spanning forest, so a group of m copies gives m - 1; without,
-    it gives every pair, in the first of the bands that the two share."""
+    a block only considers the edges of its maximum spanning forest, so a group of m copies has m - 1.
+
+    A pair is given in the first of the bands that the two share. Forests lose nothing by that: the ends of
+    an edge left out are joined, in the bucket of that earlier band, by a forest of its own."""
     rows = bucket_rows(classes, n)
     rows = rows.repartition(parts(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -187,7 +189,7 @@ def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> Data
         if spanning and len(a):
             keep = forest(t.num_rows, a, b, est)
             a, b = a[keep], b[keep]
-        elif len(a):
+        if len(a):
             tags = unpack(t, "tags", np.uint32, BANDS)
             here = key[0].view(U64).astype(np.uint32)[a]
             found = []

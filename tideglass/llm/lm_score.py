@@ -12,6 +12,11 @@ from tideglass.llm.blocks import U64, Grouped, Words, answers, cells, distinct,
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
 
+#: Bits of an n-gram's hash beyond those that number the corpus's words: an n-gram shares its hash with
+#: another one with a probability of 2**-30, until 64 bits are used up at 16 billion words.
+SAFE_BITS = 30
+
+
 def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """Natural-log stupid-backoff score of every text under counts of all texts (its own included).
 
@@ -31,14 +36,15 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, doc_id: str
         raise ValueError("order must be 2 at least")
     grouped = Grouped(docs, doc_id, text, **sizes)
     heard, ranges, total = None, grouped.ranges, corpus_words(docs, text)
+    spare = max(0, 64 - SAFE_BITS - int(total).bit_length())
 
     def ask(n):
         def fn(grp, t, heard):
             w = Words(t.column("text"))
-            known = {} if n <= 2 else counts(w, n - 1, heard)
+            known = {} if n <= 2 else counts(w, n - 1, heard, spare)
             rows = []
             for k in (1, 2) if n <= 2 else (n,):
-                h, _, _, c = distinct(w.grams(k)[wanted(w, k, known)])
+                h, _, _, c = distinct(short(w.grams(k)[wanted(w, k, known)], spare))
                 rows += cells(grp, k, h, ranges, c.astype(np.uint32))
             return to_cells(rows)
 
@@ -50,7 +56,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, doc_id: str
 
     def finish(grp, t, heard):
         w = Words(t.column("text"))
-        got = counts(w, order, heard)
+        got = counts(w, order, heard, spare)
         score = np.zeros(len(w.hash))
         if len(score):
             score = np.log(got[1] / total)
@@ -77,6 +83,11 @@ def corpus_words(docs: DataFrame, text: str) -> int:
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def short(h: np.ndarray, spare: int) -> np.ndarray:
+    """Hashes without their lowest bits."""
+    return (h >> U64(spare)) << U64(spare)
+
+
 def wanted(w: Words, n: int, known: dict) -> np.ndarray:
     """Positions whose n-gram must be counted over the corpus."""
     ok = w.left >= n
@@ -86,14 +97,14 @@ def wanted(w: Words, n: int, known: dict) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def counts(w: Words, upto: int, heard: pa.Table) -> dict[int, np.ndarray]:
+def counts(w: Words, upto: int, heard: pa.Table, spare: int) -> dict[int, np.ndarray]:
     """Corpus counts of the n-gram from each position on, for n up to ``upto``; 1 where there is no full one."""
     out: dict[int, np.ndarray] = {}
     for n in range(1, upto + 1):
         at = wanted(w, n, out)
         out[n] = np.ones(len(w.hash), np.int64)
         if len(at):
-            _, _, where, _ = distinct(w.grams(n)[at])
+            _, _, where, _ = distinct(short(w.grams(n)[at], spare))
             out[n][at] = answers(heard, n, unpack_counts)[where]
     return out
 

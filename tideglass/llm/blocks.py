@@ -1,26 +1,30 @@
 """Vectorised word hashing and the block exchange.
 
 Rows of single n-grams are too many to shuffle: a corpus has about one per word and order. The block
-exchange deals documents to *groups* of bounded size by a hash of the row, lets each group reduce its
+exchange packs the documents of each partition into *groups* of bounded size, lets each group reduce its
 n-grams to distinct hashes (so a hot n-gram crosses the network once per group, however often it
 occurs), cuts those sorted hashes into *cells* by hash range and ships a cell as one packed row. Whoever
 owns a hash range answers with one small array per cell, in the order of the cell's own hashes, so the
 answer needs no keys. Group and range counts follow the input's size; none of them holds more than a
-bounded share.
+bounded share. Beyond FAN ranges cells travel in two hops, through bundles of groups that merge them, so
+their number grows as groups times FAN and not as the square of the input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import parts, text_bytes
+from tideglass.llm.common import materialise, parts, pick
 
 U64 = np.uint64
 WORD_STEP, GRAM_STEP, CHECK_STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-GROUP_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Cells that a group ships at most, and groups whose cells are merged in a bundle, where there are more ranges.
+FAN = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,40 +52,50 @@ class Words:
     text start at or after it, ``first`` the index of each text's first word (and the total, at the end).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, most: int = 1 << 20):
         data, offs = text_buffer(texts)
-        if lower:
-            data = LOWER[data]
-        inside = ~SPACE[data]
-        edges = offs[(offs > 0) & (offs < len(data))]
-        before = np.zeros(len(data), bool)
-        before[1:] = inside[:-1]
-        before[edges] = False
-        starts = np.flatnonzero(inside & ~before)
-        after = np.zeros(len(data), bool)
-        after[:-1] = inside[1:]
-        after[edges - 1] = False
-        ends = np.flatnonzero(inside & ~after) + 1
-        del before, after
-        lens = ends - starts
-        n = len(lens)
-        if n:
-            at = np.cumsum(lens) - lens
-            where = np.arange(int(lens.sum())) - np.repeat(at, lens)
-            value = BYTE_VALUE[data[inside]] * powers(WORD_STEP, int(lens.max()))[where]
-            self.hash = mix(np.add.reduceat(value, at) + lens.astype(U64))
-        else:
-            self.hash = np.zeros(0, U64)
-        self.first = np.searchsorted(starts, offs)
-        self.count = np.diff(self.first)
+        hashes, counts, at = [], [], 0
+        while at < len(texts):  # texts of about ``most`` bytes at a time: the arrays by byte stay small
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+            got = hashed(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], lower)
+            hashes.append(got[0])
+            counts.append(got[1])
+            at = to
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+        self.count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.first = np.append(0, np.cumsum(self.count))
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.left = np.repeat(self.first[1:], self.count) - np.arange(n)
+        self.left = np.repeat(self.first[1:], self.count) - np.arange(len(self.hash))
 
     def grams(self, n: int, step: U64 = GRAM_STEP) -> np.ndarray:
         """A hash of the n words from each position on; meaningful where ``left >= n``."""
         return mix(gram_sums(self.hash, n, step) + U64(n))
 
 
+def hashed(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and the number of words of each text."""
+    if lower:
+        data = LOWER[data]
+    inside = ~SPACE[data]
+    edges = offs[(offs > 0) & (offs < len(data))]
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    before[edges] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.zeros(len(data), bool)
+    after[:-1] = inside[1:]
+    after[edges - 1] = False
+    lens = np.flatnonzero(inside & ~after) + 1 - starts
+    del before, after
+    counts = np.diff(np.searchsorted(starts, offs))
+    if not len(lens):
+        return np.zeros(0, U64), counts
+    at = np.cumsum(lens) - lens
+    where = np.arange(int(lens.sum())) - np.repeat(at, lens)
+    value = BYTE_VALUE[data[inside]] * powers(WORD_STEP, int(lens.max()))[where]
+    return mix(np.add.reduceat(value, at) + lens.astype(U64)), counts
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and their offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -153,11 +167,14 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return s[at], order[at], place, np.diff(np.append(at, len(s)))
 
 
-def cuts(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range starts in a sorted array; ``ranges`` is a power of two."""
-    shift = U64(64 - (ranges.bit_length() - 1)) if ranges > 1 else None
+def cuts(sorted_hashes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the hash ranges that a sorted array has; ``ranges`` is a power of two."""
+    if not len(sorted_hashes):
+        return []
+    shift = U64(65 - ranges.bit_length())
     owner = (sorted_hashes >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(sorted_hashes), np.int64)
-    return np.searchsorted(owner, np.arange(ranges + 1))
+    at = np.flatnonzero(np.diff(owner, prepend=-1))
+    return list(zip(owner[at].tolist(), at.tolist(), [*at[1:].tolist(), len(owner)], strict=True))
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -175,12 +192,7 @@ CELL_DDL = "grp long, rng long, level int, data binary"
 
 def cells(grp: int, level: int, hashes: np.ndarray, ranges: int, *extra: np.ndarray) -> list[tuple]:
     """(grp, rng, level, data) for each hash range: the sorted hashes, then ``extra`` arrays, by bytes."""
-    at = cuts(hashes, ranges)
-    return [
-        (grp, b, level, pack_sorted(hashes[i:j]) + b"".join(planes(x[i:j]) for x in extra))
-        for b, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-        if j > i
-    ]
+    return [(grp, b, level, pack_sorted(hashes[i:j]) + b"".join(planes(x[i:j]) for x in extra)) for b, i, j in cuts(hashes, ranges)]
 
 
 def to_cells(rows: list[tuple]) -> pa.Table:
@@ -196,21 +208,31 @@ def uncell(raw: bytes, *dtypes) -> list[np.ndarray]:
     return out + [unplanes(raw[at[i + 1] * n : at[i + 2] * n], d) for i, d in enumerate(dtypes)]
 
 
-def answers(table: pa.Table, level: int, unpack) -> np.ndarray:
-    """A group's answers for one level, in the order of its own sorted hashes."""
-    got = sorted((r, d) for r, v, d in zip(*(table.column(c).to_pylist() for c in ("rng", "level", "data")), strict=True) if v == level)
-    return np.concatenate([unpack(expand(d)) for _, d in got]) if got else unpack(b"")
+def answer(x: np.ndarray) -> bytes:
+    """An answer, with its kind up front: flags as bits (packbits pads, so their number goes along), else integers."""
+    if x.dtype == bool:
+        return squeeze(b"b" + np.uint32(len(x)).tobytes() + np.packbits(x).tobytes())
+    return squeeze(b"q" + planes(x.astype(np.int64)))
 
 
-def bits(flags: np.ndarray) -> bytes:
-    """Flags, with their number up front (packbits pads)."""
-    return np.uint32(len(flags)).tobytes() + np.packbits(flags).tobytes()
+def unanswer(raw: bytes) -> np.ndarray:
+    raw = expand(raw)
+    if raw[:1] == b"b":
+        return np.unpackbits(np.frombuffer(raw, np.uint8, offset=5), count=int(np.frombuffer(raw, np.uint32, 1, 1)[0])).astype(bool)
+    return unplanes(raw[1:], np.int64)
 
 
-def unbits(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, bool)
-    return np.unpackbits(np.frombuffer(raw, np.uint8, offset=4), count=int(np.frombuffer(raw, np.uint32, 1)[0])).astype(bool)
+def answers(table: pa.Table, level: int, dtype=np.int64) -> np.ndarray:
+    """A group's answers for one level, in the order of its own sorted hashes."""
+    got = sorted((r, d) for r, v, d in zip(*(table.column(c).to_pylist() for c in ("rng", "level", "data")), strict=True) if v == level)
+    return np.concatenate([unanswer(d) for _, d in got]).astype(dtype) if got else np.zeros(0, dtype)
+
+
+def repeated(h: np.ndarray) -> np.ndarray:
+    """Whether each hash occurs twice at least; its lowest bit tells that it does so in its own group."""
+    _, _, where, _ = distinct(h >> U64(1))
+    total = np.bincount(where, weights=1 + (h & U64(1)))
+    return total[where] >= 2
 
 
 class Dealt:
@@ -218,41 +240,138 @@ class Dealt:
     pass sees one order. The exchange below ``rows`` is the same for every use within one query, so Spark
     shuffles the rows once."""
 
-    def __init__(self, rows: DataFrame, groups: int, ranges: int, order: list[str]):
+    def __init__(self, rows: DataFrame, groups: int, ranges: int, order: list[str], size: int):
         self.groups, self.ranges, self.order = groups, ranges, order
-        self.rows = rows.repartition(parts(rows.sparkSession), "grp")
+        self.coarse = min(ranges, FAN)
+        self.rows = rows.repartition(parts(rows.sparkSession, size), "grp")
 
-    def emit(self, fn, heard: DataFrame | None = None, schema: str = CELL_DDL) -> DataFrame:
-        """``fn(grp, rows, answers)`` for each group; ``heard`` has the answers."""
-        by = [(c, "ascending") for c in self.order]
+    def __getstate__(self):  # functions that run in tasks take numbers along, no tables
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
 
-        def ordered(t: pa.Table) -> pa.Table:
-            return t.sort_by(by).combine_chunks() if t.num_rows else t
+    def opened(self, t: pa.Table) -> pa.Table:
+        return t.sort_by([(c, "ascending") for c in self.order]).combine_chunks() if t.num_rows else t
 
+    def emit(self, fn, heard: DataFrame | None = None, schema: str = "") -> DataFrame:
+        """``fn(grp, rows, answers)`` for each group; ``heard`` has the answers."""
+        opened, schema = self.opened, schema or CELL_DDL
         if heard is None:
-            return self.rows.groupBy("grp").applyInArrow(lambda t: fn(grp_of(t), ordered(t), None), schema)
-        return self.rows.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: fn(grp_of(t), ordered(t), a), schema)
+            return self.rows.groupBy("grp").applyInArrow(lambda t: fn(grp_of(t), opened(t), None), schema)
+        return self.rows.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: fn(grp_of(t), opened(t), a), schema)
+
+    def ask(self, grp: int, level: int, hashes: np.ndarray, *extra: np.ndarray) -> list[tuple]:
+        return cells(grp, level, hashes, self.coarse, *extra)
+
+    def own(self, asked: DataFrame, fn, *dtypes) -> DataFrame:
+        """Answers to cells: ``fn(hashes, *extra) -> one answer a hash`` sees all cells of a hash range (and level).
+
+        ``dtypes`` are those of the extra arrays. Equal hashes may come several times, from several groups."""
+
+        def reply(t: pa.Table) -> pa.Table:
+            every, ends = joined(t, dtypes)
+            return replies(t, fn(*every), ends)
+
+        if self.coarse == self.ranges:
+            return asked.groupBy("rng", "level").applyInArrow(reply, CELL_DDL)
+
+        def unmerge(t: pa.Table, got: pa.Table) -> pa.Table:
+            t = t.sort_by("grp")
+            every, ends = joined(t, dtypes)
+            heard = np.concatenate([unanswer(d) for _, d in sorted(zip(got.column("rng").to_pylist(), got.column("data").to_pylist(), strict=True))])
+            out = np.empty_like(heard)
+            out[np.argsort(every[0], kind="stable")] = heard
+            return replies(t, out, ends)
+
+        asked, merged = self.bundled(asked, dtypes)
+        got = merged.groupBy("rng", "level").applyInArrow(reply, CELL_DDL).withColumn("wide", F.floor(F.col("rng") / F.lit(self.ranges // self.coarse)))
+        return asked.groupBy("bundle", "rng", "level").cogroup(got.groupBy("grp", "wide", "level")).applyInArrow(unmerge, CELL_DDL)
+
+    def reduce(self, asked: DataFrame, fn, schema: str, *dtypes) -> DataFrame:
+        """``fn(level, hashes, *extra) -> table`` for each hash range and level; nothing goes back to the groups."""
+        rows = asked if self.coarse == self.ranges else self.bundled(asked, dtypes)[1]
+        return rows.groupBy("rng", "level").applyInArrow(lambda t: fn(t.column("level")[0].as_py(), *joined(t, dtypes)[0]), schema)
 
-    @staticmethod
-    def own(asked: DataFrame, fn) -> DataFrame:
-        """``fn(cells of one range) -> one answer a cell`` for each hash range (and level, if they differ)."""
+    def bundled(self, asked: DataFrame, dtypes) -> tuple[DataFrame, DataFrame]:
+        """The cells with their bundle; the cells of each bundle and coarse range merged and cut by fine range."""
+        ranges = self.ranges
 
-        def answer(t: pa.Table) -> pa.Table:
-            raw = [expand(x) for x in t.column("data").to_pylist()]
-            return to_cells(list(zip(t.column("grp").to_pylist(), t.column("rng").to_pylist(), t.column("level").to_pylist(), fn(raw), strict=True)))
+        def merge(t: pa.Table) -> pa.Table:
+            every, _ = joined(t.sort_by("grp"), dtypes)
+            order = np.argsort(every[0], kind="stable")
+            return to_cells(cells(t.column("bundle")[0].as_py(), t.column("level")[0].as_py(), every[0][order], ranges, *(x[order] for x in every[1:])))
 
-        return asked.groupBy("rng", "level").applyInArrow(answer, CELL_DDL)
+        asked = asked.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-self.groups // FAN)))))
+        return asked, asked.groupBy("bundle", "rng", "level").applyInArrow(merge, CELL_DDL)
+
+
+def joined(t: pa.Table, dtypes) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes and extra arrays of all cells, one cell after the other, and where each cell ends."""
+    cut = [uncell(expand(x), *dtypes) for x in t.column("data").to_pylist()]
+    return [np.concatenate([c[i] for c in cut]) for i in range(1 + len(dtypes))], np.cumsum([len(c[0]) for c in cut])
+
+
+def replies(t: pa.Table, got: np.ndarray, ends: np.ndarray) -> pa.Table:
+    data = pa.array([answer(x) for x in np.split(got, ends[:-1])], pa.binary())
+    return pa.Table.from_arrays([*(t.column(c).cast(CELL.field(c).type) for c in ("grp", "rng", "level")), data], schema=CELL)
 
 
 class Grouped(Dealt):
-    """Documents dealt to groups of about ``group_bytes`` of text."""
+    """Documents packed into groups of about ``group_bytes`` of text, each compressed and kept in the shared
+    folder, so that all passes see the same groups, whatever executor is lost. A group is cut from one partition:
+    rows that repeat, however often, fill groups like any others, and only a single longer text exceeds one."""
+
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 0, range_bytes: int = 0):
+        group_bytes, range_bytes = group_bytes or GROUP_BYTES, range_bytes or RANGE_BYTES
+        rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
+        packed = materialise(rows.mapInArrow(lambda batches: pack(batches, group_bytes), "grp long, size long, data binary"), "groups")
+        total = packed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("packed")).first()
+        self.kept = packed.select("grp", "data")
+        super().__init__(self.kept, total.n, 1 << max(0, total["size"] // range_bytes).bit_length(), [], total.packed)
+
+    def opened(self, t: pa.Table) -> pa.Table:
+        """A group's documents; it has one row, but for a group that only answers name."""
+        return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("data").to_pylist()]).combine_chunks() if t.num_rows else GROUP.empty_table()
+
+    def emit(self, fn, heard: DataFrame | None = None, schema: str = "") -> DataFrame:
+        if heard is not None:
+            return super().emit(fn, heard, schema)
+        opened = self.opened
+
+        def each(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    t = pa.Table.from_batches([batch.slice(k, 1)])
+                    yield from fn(grp_of(t), opened(t), None).to_batches()
+
+        return self.kept.mapInArrow(each, schema or CELL_DDL)
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES):
-        n = text_bytes(docs, text)
-        groups = max(1, -(-n // group_bytes))
-        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-        super().__init__(rows, groups, 1 << max(0, n // range_bytes).bit_length(), ["doc_id", "text"])
+
+GROUP = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def pack(batches, most: int):
+    """Rows (grp, size, data) of documents, by id within a group (null last); groups are numbered by partition."""
+    number = TaskContext.get().partitionId() << 32
+    kept: list[pa.RecordBatch] = []
+    size = 0
+
+    def packed():
+        nonlocal number, kept, size
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, GROUP, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(kept).cast(GROUP).sort_by("doc_id").combine_chunks())
+        row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["grp", "size", "data"])
+        number, kept, size = number + 1, [], 0
+        return row
+
+    for batch in batches:
+        for part in slices(batch, min(most, 1 << 20)):
+            own = int(text_buffer(part.column("text"))[1][-1]) + 16 * part.num_rows
+            if kept and size + own > most:
+                yield packed()
+            kept.append(part)
+            size += own
+    if kept:
+        yield packed()
 
 
 def grp_of(t: pa.Table) -> int:
@@ -281,14 +400,14 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.searchsorted(doc[keep], np.arange(len(w.count) + 1))
 
 
-def whole_groups(batches, fn, keys, least: int = 4096):
-    """Apply ``fn`` to runs of sorted batches that end where the keys change."""
+def whole_groups(batches, fn, keys, least: int = 4096, most: int = 16 << 20):
+    """Apply ``fn`` to runs of sorted batches that end where the keys change, of about ``least`` rows or ``most`` bytes."""
     kept: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
-        if sum(b.num_rows for b in kept) < least:
+        if sum(b.num_rows for b in kept) < least and sum(b.nbytes for b in kept) < most:
             continue
         t = pa.Table.from_batches(kept).combine_chunks()
         last = [t.column(k)[t.num_rows - 1].as_py() for k in keys]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideglass.llm.blocks import CHECK_STEP, U64, Grouped, Words, answers, bits, cells, distinct, to_cells, unbits, uncell
+from tideglass.llm.blocks import CHECK_STEP, U64, Grouped, Words, answers, distinct, repeated, to_cells
 
 LAST = np.int64(2**63 - 1)
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -22,35 +22,43 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     input. Words are runs of characters other than space and \\t..\\r. Returns doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space) and, if asked, kept_text.
 
-    Levels: at half the length only *anchors* are counted, the least-hashed half-length sequence inside each
-    window (equal windows have equal anchors, so a repeated window always has a repeated anchor). Only windows
-    whose anchor repeats are extended to the full length and compared, by 96 bits of hash, over the corpus.
+    Levels (see ``lengths``) double up to ``window``. At each shorter length a window is stood for by its
+    *anchor*, the least-hashed sequence of that length inside it: equal windows have equal anchors, so a window
+    that repeats has a repeated anchor at every level. Only windows whose anchors repeat at one length are looked
+    at with twice that length; those that survive to the last level are compared in full, by 96 bits of hash,
+    over the corpus. Where none survives a level the further ones have nothing to ask.
 
     A null text has no words. A null doc_id is later than all others. Of two rows with one doc_id neither is
-    earlier at the same start, so repeated rows stay alike. An empty table gives an empty result.
+    earlier at the same start, so repeated rows stay alike. An empty table gives an empty result; further
+    columns, whatever their names, are ignored.
     """
     if window < 2:
         raise ValueError("window must be 2 at least")
     grouped = Grouped(docs, doc_id, text, **sizes)
-    half, ranges = window // 2, grouped.ranges
+    levels = lengths(window)
 
-    def ask_anchors(grp, t, _):
-        hashes, _, many = anchors(Words(t.column("text")), window, half)[:3]
-        return to_cells(cells(grp, half, (hashes & ~U64(1)) | many.astype(U64), ranges))
+    def ask_anchors(length, before):
+        def fn(grp, t, heard):
+            w = Words(t.column("text"))
+            h, where, many = anchors(w, alive(w, window, before, heard), window, length)
+            return to_cells(grouped.ask(grp, length, h | many.astype(U64)))
+
+        return fn
 
     def ask_windows(grp, t, heard):
         w = Words(t.column("text"))
-        at, h, first, _ = candidates(w, window, half, heard)
+        at = alive(w, window, levels[:-1], heard)
+        h, first, _, _ = distinct(w.grams(window)[at])
         doc, start = place(t, w, at[first])
-        check = w.grams(window, CHECK_STEP)[at[first]].astype(np.uint32)
-        return to_cells(cells(grp, window, h, ranges, check, doc, start))
+        return to_cells(grouped.ask(grp, window, h, w.grams(window, CHECK_STEP)[at[first]].astype(np.uint32), doc, start))
 
     def finish(grp, t, heard):
         w = Words(t.column("text"))
         covered = np.zeros(len(w.hash) + 1, np.int64)
-        at, h, first, which = candidates(w, window, half, heard)
+        at = alive(w, window, levels[:-1], heard)
         if len(at):
-            later = answers(heard, window, unbits)
+            _, first, which, _ = distinct(w.grams(window)[at])
+            later = answers(heard, window, bool)
             doc, start = place(t, w, at)
             same = (doc == doc[first][which]) & (start == start[first][which])
             gone = at[np.where(same, later[which], True)]
@@ -67,36 +75,49 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
         out = [t.column("doc_id"), pa.array(w.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
         return pa.Table.from_arrays(out, schema=OUT) if t.num_rows else OUT.empty_table()
 
-    repeated = Grouped.own(grouped.emit(ask_anchors), own_anchors)
-    later = Grouped.own(grouped.emit(ask_windows, repeated), own_windows)
-    out = grouped.emit(finish, repeated.unionByName(later), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    heard = None
+    for k, length in enumerate(levels[:-1]):
+        got = grouped.own(grouped.emit(ask_anchors(length, levels[:k]), heard), repeated)
+        heard = got if heard is None else heard.unionByName(got)
+    later = grouped.own(grouped.emit(ask_windows, heard), starts_earlier, np.uint32, np.int64, np.uint32)
+    out = grouped.emit(finish, later if heard is None else heard.unionByName(later), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if keep_text else out.drop("kept_text")
 
 
-def anchors(w: Words, window: int, half: int):
-    """Distinct anchor hashes (lowest bit cleared), one index of each, whether each occurs twice, the starts
-    of all full windows, and each window's place among the distinct anchors."""
-    starts = np.flatnonzero(w.left >= window)
-    short = w.grams(half) & ~U64(1)
-    low, pos, have = short, np.arange(len(short)), 1
-    while have < window - half + 1:  # the leftmost least of the next ones, doubling
-        step = min(have, window - half + 1 - have)
-        nxt, npos = np.append(low[step:], np.full(step, ~U64(0)))[: len(low)], np.append(pos[step:], np.zeros(step, np.int64))[: len(pos)]
-        pick = nxt < low
-        low, pos, have = np.where(pick, nxt, low), np.where(pick, npos, pos), have + step
-    pos = pos[starts]  # does not decrease within a text, and texts follow each other
-    new = np.ones(len(pos), bool)
-    new[1:] = pos[1:] != pos[:-1]
-    hashes, first, where, count = distinct(short[pos[new]])
-    return hashes, first, count > 1, starts, where[np.cumsum(new) - 1] if len(pos) else np.zeros(0, np.int64)
+def lengths(window: int, least: int = 8) -> list[int]:
+    """``window`` and its halves (rounded up) down to ``least``, shortest first: each is twice the one before it,
+    or up to one word less. A length below ``least`` repeats by chance too often to be worth a pass."""
+    out = [window]
+    while (half := -(-out[0] // 2)) >= least:
+        out.insert(0, half)
+    return out
 
 
-def candidates(w: Words, window: int, half: int, heard: pa.Table):
-    """Starts of windows whose anchor repeats, their distinct hashes, the first of each, and places."""
-    _, _, _, starts, anchor = anchors(w, window, half)
-    at = starts[answers(heard, half, unbits)[anchor]] if len(starts) else starts
-    h, first, which, _ = distinct(w.grams(window)[at])
-    return at, h, first, which
+def alive(w: Words, window: int, levels: list[int], heard: pa.Table | None) -> np.ndarray:
+    """Starts of the windows whose anchors repeat at all the levels answered so far."""
+    at = np.flatnonzero(w.left >= window)
+    for length in levels:
+        if len(at):
+            _, where, _ = anchors(w, at, window, length)
+            at = at[answers(heard, length, bool)[where]]
+    return at
+
+
+def anchors(w: Words, at: np.ndarray, window: int, length: int):
+    """Of the windows that start at ``at``: the distinct anchor hashes (lowest bit cleared), each window's place
+    among them, and whether an anchor occurs at two positions."""
+    low = w.grams(length) & ~U64(1)
+    pos, have, want = np.arange(len(low)), 1, window - length + 1
+    while have < want:  # the leftmost least of the next ones, doubling
+        step = min(have, want - have)
+        nxt, npos = np.append(low[step:], np.full(step, ~U64(0)))[: len(low)], np.append(pos[step:], np.zeros(step, np.int64))[: len(pos)]
+        smaller = nxt < low
+        low, pos, have = np.where(smaller, nxt, low), np.where(smaller, npos, pos), have + step
+    low, pos = low[at], pos[at]
+    new = np.ones(len(pos), bool)  # positions do not decrease
+    new[1:] = pos[1:] != pos[:-1]
+    h, _, where, count = distinct(low[new])
+    return h, where[np.cumsum(new) - 1] if len(pos) else np.zeros(0, np.int64), count > 1
 
 
 def place(t: pa.Table, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,19 +125,8 @@ def place(t: pa.Table, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[w.doc[at]], (at - w.first[w.doc[at]]).astype(np.uint32)
 
 
-def own_anchors(raw: list[bytes]) -> list[bytes]:
-    """Whether each anchor of each cell occurs at two places at least."""
-    parts = [uncell(x)[0] for x in raw]
-    every = np.concatenate(parts)
-    _, _, where, _ = distinct(every >> U64(1))
-    total = np.bincount(where, weights=1 + (every & U64(1)))
-    return split_bits(total[where] >= 2, parts)
-
-
-def own_windows(raw: list[bytes]) -> list[bytes]:
-    """Whether each window of each cell also starts earlier."""
-    parts = [uncell(x, np.uint32, np.int64, np.uint32) for x in raw]
-    h, check, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
+def starts_earlier(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each window also starts earlier."""
     order = np.lexsort((check, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
@@ -126,8 +136,4 @@ def own_windows(raw: list[bytes]) -> list[bytes]:
     begin = np.minimum.reduceat(np.where(doc == least, start, LAST), at)[group]
     late = np.empty(len(h), bool)
     late[order] = (doc > least) | (start > begin)
-    return split_bits(late, [p[0] for p in parts])
-
-
-def split_bits(flags: np.ndarray, parts: list[np.ndarray]) -> list[bytes]:
-    return [bits(x) for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
+    return late

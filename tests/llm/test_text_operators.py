@@ -12,10 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.llm import near_dup
+from tideglass.llm import blocks, near_dup
 from tideglass.llm.blocks import Words
 from tideglass.llm.decontaminate import contained_items, drop_contaminated
-from tideglass.llm.lm_score import lm_score
+from tideglass.llm.lm_score import lm_score, ngram_counts, score_with
 from tideglass.llm.mixing import mix_sources
 from tideglass.llm.near_dup import drop_near_duplicates, near_duplicates
 from tideglass.llm.pii import disguised, find_pii, luhn, plain, spans_of
@@ -42,8 +42,9 @@ def test_words_split_at_ascii_space_alone():
     assert w.grams(2)[0] == Words(pa.array(["zz a\x85b c"])).grams(2)[1]
 
 
-@pytest.mark.parametrize("window", [2, 7, 20])
-def test_substring_dedup(corpus, window):
+@pytest.mark.parametrize(("window", "fan"), [(2, 1024), (7, 1024), (20, 2), (33, 1024)])
+def test_substring_dedup(corpus, window, fan, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", fan)
     rows = [r for r in corpus.collect()]
     order = sorted(((math.inf if r.doc_id is None else r.doc_id), words(r.text)) for r in rows)
     first = {}
@@ -62,20 +63,46 @@ def test_substring_dedup(corpus, window):
     assert Counter(map(tuple, substring_dedup(corpus, window, **SMALL).collect())) == want
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_lm_score(corpus, order):
-    texts = [words(r.text) for r in corpus.collect()]
-    counts = Counter(tuple(w[k : k + n]) for w in texts for n in range(1, order + 1) for k in range(len(w) - n + 1))
-    total = sum(map(len, texts))
-    want = []
-    for w in texts:
+def backoff_want(texts, corpus, order, leave_out):
+    """By brute force: words and score of each text under the counts of ``corpus``."""
+    grams = [Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)) for w in corpus]
+    every = sum(grams, Counter())
+    total, want = sum(map(len, corpus)), []
+    for i, w in enumerate(texts):
         score = 0.0
+        c = Counter({g: n - (grams[i][g] if leave_out else 0) for g, n in every.items()})
+        words_ = max(1, total - len(w) * leave_out)
         for k in range(len(w)):
-            n = min(order, k + 1)
-            g = tuple(w[k - n + 1 : k + 1])
-            score += math.log((counts[g] / counts[g[:-1]] if n > 1 else counts[g] / total) * 0.4 ** (order - n))
+            for n in range(min(order, k + 1), 0, -1):
+                g = tuple(w[k - n + 1 : k + 1])
+                if n == 1 or c[g] > 0:
+                    score += math.log((c[g] / c[g[:-1]] if n > 1 else max(c[g], 0.5) / words_) * 0.4 ** (order - n))
+                    break
         want.append((len(w), round(score, 6)))
-    assert sorted((r.n_words, round(r.log_score, 6)) for r in lm_score(corpus, order, **SMALL).collect()) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("order", "leave_out", "fan"), [(2, True, 1024), (3, True, 2), (4, False, 1024)])
+def test_lm_score(corpus, monkeypatch, order, leave_out, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    texts = [words(r.text) for r in corpus.collect()]
+    got = lm_score(corpus, order, leave_out=leave_out, **SMALL).collect()
+    assert sorted((r.n_words, round(r.log_score, 6)) for r in got) == backoff_want(texts, texts, order, leave_out)
+
+
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_unseen_texts_back_off_under_a_kept_table(spark, corpus, empty, monkeypatch, tmp_path, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    ngram_counts(corpus, 3, **SMALL).write.parquet(str(tmp_path / "counts"))
+    table = spark.read.parquet(str(tmp_path / "counts"))
+    texts = [words(r.text) for r in corpus.collect()]
+    every = Counter(tuple(w[k : k + n]) for w in texts for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    assert Counter({n: sum(1 for g in every if len(g) == n) for n in (1, 2, 3)}) == Counter({r.n: r["count"] for r in table.groupBy("n").count().collect()})
+    assert table.agg(F.sum("count")).first()[0] == sum(every.values())
+    new = ["w1 w2 never seen w3", (" ".join(map(bytes.decode, texts[4])) + " w5 w6"), "", None, "nothing"]
+    got = score_with(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), table, 3, **SMALL).collect()
+    assert sorted((r.n_words, round(r.log_score, 6)) for r in got) == backoff_want([words(x) for x in new], texts, 3, False)
+    assert score_with(empty, table).count() == 0 and ngram_counts(empty).count() == 0
 
 
 def components(sets):
@@ -111,10 +138,8 @@ def test_near_duplicates(corpus):
 
 
 def test_near_duplicates_in_blocks_and_without_broadcast(corpus, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
-    monkeypatch.setattr(near_dup, "GROUP_ROWS", 16)
-    monkeypatch.setattr(near_dup, "RANGE_ROWS", 16)
-    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    for name, value in (("BLOCK_BYTES", 5000), ("GROUP_BYTES", 8000), ("GROUP_ROWS", 16), ("RANGE_ROWS", 16), ("MATES", 5), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(near_dup, name, value)
     want = near_want(corpus)
     assert {(r.doc_id, r.component_id) for r in near_duplicates(corpus).collect() if r.doc_id is not None} == set(want.items())
 
@@ -269,8 +294,56 @@ def test_estimates_are_close():
     base = [f"x{k}" for k in rnd.integers(0, 10**9, 3000)]
     other = [w if k % 40 else f"y{k}" for k, w in enumerate(base)]
     h, first = shingle_sets(Words(pa.array([" ".join(base), " ".join(other)])), 5)
-    regs = near_dup.registers(h, first)
-    sig = np.where(regs == 0, 0, 1 + regs % 255).astype(np.uint8)
+    regs, n = near_dup.registers(h, first), np.diff(first)
+    assert regs.dtype == np.uint16
     a, b = set(h[: first[1]].tolist()), set(h[first[1] :].tolist())
-    est, used = near_dup.estimates(sig, np.array([0]), np.array([1]))
+    est, used = near_dup.estimates(regs[:1], regs[1:], n[:1], n[1:])
     assert abs(est[0] - len(a & b) / len(a | b)) < 0.11 and used[0] == 256
+
+
+@pytest.mark.parametrize("size", [40, 600, 20_000])
+def test_chance_agreement_of_registers(size):
+    """Short registers of disjoint sets agree as often as expected, and so do long ones (hardly ever)."""
+    rnd = np.random.default_rng(size)
+    short, long = [], 0
+    for _ in range(60):
+        h = np.sort(rnd.integers(0, 2**64, (2, size), np.uint64), axis=1)
+        regs = near_dup.registers(h.ravel(), np.array([0, size, 2 * size]))
+        x, y = near_dup.shortened(regs)
+        assert ((x == 0) == (regs[0] == 0)).all()
+        short.append(int(((x == y) & (x != 0)).sum()))
+        long += int(((regs[0] == regs[1]) & (regs[0] != 0)).sum())
+    want = float(near_dup.by_chance(size, size, np.uint8))
+    assert abs(np.mean(short) - want) < 0.2 * want + 0.4 and long < 20
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_spanning_forest_is_that_of_all_links(hubs):
+    rnd = np.random.default_rng(4)
+    base = np.sort(rnd.integers(0, 2**63, 120).astype(np.uint64))
+    items = []
+    for _ in range(90):
+        x = base.copy()
+        x[rnd.integers(0, 120, rnd.integers(0, 26))] = rnd.integers(0, 2**63, 1).astype(np.uint64)
+        items.append(np.unique(x))
+    first = np.append(0, np.cumsum([len(x) for x in items]))
+    regs, n = near_dup.registers(np.concatenate(items), first), np.diff(first)
+    block = rnd.integers(0, 2, 90)
+    hub = (np.arange(90) % 30 == 0) & hubs
+    for side in (block, block * 0):
+        def linked(i, j, side=side):
+            same = len(np.intersect1d(items[i], items[j]))
+            return (side.min() == side.max() or side[i] != side[j]) and 100 * same >= 75 * (n[i] + n[j] - same)
+
+        want = [(i, j) for i in range(90) for j in range(i) if linked(i, j) or hub[i] and hub[j]]
+        got = near_dup.spanning(n, regs, items, side, hub, 75)
+        assert all(linked(i, j) for i, j in got) and len(got) < 90
+
+        def labels(edges):
+            parent = np.arange(90)
+            for _ in range(90):
+                for i, j in edges:
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+            return parent.tolist()
+
+        assert labels(got + [(i, j) for i in range(90) for j in range(i) if hub[i] and hub[j]]) == labels(want)

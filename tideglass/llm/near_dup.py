@@ -1,4 +1,4 @@
-"""Near-duplicate documents: HyperMinHash registers, banded, then exact verification."""
+"""Near-duplicate documents: HyperMinHash registers, banded, estimated, then verified on full sets."""
 
 from __future__ import annotations
 
@@ -8,35 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import (
-    CHECK_STEP, U64, Dealt, Words, answers, cells, distinct, forest, mix, planes, shingle_sets, slices, to_cells, uncell, unplanes, whole_groups,
+    CHECK_STEP, U64, Dealt, Words, answers, distinct, mix, repeated, shingle_sets, slices, to_cells, whole_groups,
 )
-from tideglass.llm.common import materialise, parts
+from tideglass.llm.common import index_of, materialise, numbered, parts, pick
 from tideglass.llm.graph import components
 
-#: 256 registers; 51 bands of 5: two sets with Jaccard 0.75 share no band with a probability of 1e-6.
-#: Bands compare whole registers; estimates compare a byte of each.
-BUCKET_BITS, MANTISSA_BITS, BAND, BANDS = 8, 24, 5, 51
+#: 256 registers of 6 + 10 bits; 51 bands of 5: two sets with Jaccard 0.75 share no band with a probability of 1e-6.
+BUCKET_BITS, ZERO_BITS, MANTISSA_BITS, BAND, BANDS = 8, 6, 10, 5, 51
 REGISTERS = 1 << BUCKET_BITS
-#: Sets dealt to one group, members of a band's bucket compared in one block.
-GROUP_ROWS, RANGE_ROWS, BLOCK = 4096, 32768, 512
-#: Beyond this many ids the texts to verify are found by a shuffled join instead of a broadcast.
+#: Registers travel to first estimates with fewer bits of both kinds, a byte each.
+SHORT_ZERO_BITS, SHORT_MANTISSA_BITS = 4, 4
+#: A pair whose estimate lies so many deviations below the threshold is not verified (3e-7 of pairs just at it).
+DEVIATIONS = 5.0
+#: Sets dealt to one group and to one hash range; bytes of sets dealt to one group; bytes of a family's block.
+GROUP_ROWS, RANGE_ROWS, GROUP_BYTES, BLOCK_BYTES = 4096, 32768, 8 << 20, 4 << 20
+#: Band mates that are estimated together; more of them are a family as they stand, and go to full sets.
+MATES = 1024
+#: Beyond this many ids rows are found by a shuffled join instead of a broadcast.
 BROADCAST_IDS = 200_000
-SIG_DDL = "doc_id long, n_shingles long, f1 long, f2 long, keys binary, sig binary"
-ROW_DDL = "key long, i int, j int, block int, rep long, comp long, n long, tags binary, sig binary"
+SIG_DDL = "doc_id long, n_shingles long, f1 long, f2 long, regs binary"
 PAIR_DDL = "a long, b long"
+SET = pa.schema([("rep", pa.int64()), ("family", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("regs", pa.binary()), ("items", pa.binary())])
+SET_DDL = "rep long, family long, n long, f1 long, f2 long, regs binary, items binary"
 
 
 def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per set and bucket, for the least hash: its leading zeros and the bits after them, plus 1; 0: none.
+    """Per set and bucket, for the least hash: its leading zeros plus 1 and the bits after them; 0: none.
     ``h`` is sorted within each set, so a bucket's least hash comes first."""
     sets = np.repeat(np.arange(len(first) - 1), np.diff(first))
     cell = sets * REGISTERS + (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
     at = np.flatnonzero(np.diff(cell, prepend=-1))
     rest = (h[at] << U64(BUCKET_BITS)) | U64(1)
-    zeros = 64 - np.frexp(rest.astype(np.float64))[1]
-    mantissa = (rest << np.minimum(zeros + 1, 63).astype(U64)) >> U64(64 - MANTISSA_BITS)
-    out = np.zeros((len(first) - 1) * REGISTERS, np.uint32)
-    out[cell[at]] = 1 + (zeros << MANTISSA_BITS) + mantissa.astype(np.int64)
+    zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], (1 << ZERO_BITS) - 2)
+    mantissa = (rest << (zeros + 1).astype(U64)) >> U64(64 - MANTISSA_BITS)
+    out = np.zeros((len(first) - 1) * REGISTERS, np.uint16)
+    out[cell[at]] = ((zeros + 1) << MANTISSA_BITS) + mantissa.astype(np.int64)
     return out.reshape(-1, REGISTERS)
 
 
@@ -49,190 +55,301 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return np.where(cut.any(axis=2), keys | U64(1), U64(0))
 
 
-def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+def shortened(regs: np.ndarray) -> np.ndarray:
+    """The same registers in a byte each."""
+    zeros = np.minimum(regs >> MANTISSA_BITS, (1 << SHORT_ZERO_BITS) - 1)
+    mantissa = (regs & ((1 << MANTISSA_BITS) - 1)) >> (MANTISSA_BITS - SHORT_MANTISSA_BITS)
+    return ((zeros << SHORT_MANTISSA_BITS) + mantissa).astype(np.uint8)
+
+
+def chance_table(zero_bits: int, mantissa_bits: int, steps: int = 8, most: int = 64) -> np.ndarray:
+    """(n + m) times the sum over register values of w^2 exp(-(n+m) x), over a grid of log2(n + m).
+
+    A register of i - 1 leading zeros has cells of width w = 2^-(b+r+i) over its stretch of [0, 1); the least
+    hashes of disjoint sets of n and m fall into one cell at x with a probability of n m w^2 exp(-(n+m) x).
+    """
+    both, out = 2.0 ** (np.arange(most * steps + 1) / steps), 0.0
+    for i in range(1, 1 << zero_bits):
+        low = 0.0 if i == (1 << zero_bits) - 1 else 2.0 ** -(BUCKET_BITS + i)
+        out = out + 2.0 ** -(BUCKET_BITS + mantissa_bits + i) * (np.exp(-both * low) - np.exp(-both * 2.0 ** -(BUCKET_BITS + i - 1)))
+    return out * both
+
+
+#: By the type that holds a register.
+CHANCE = {np.dtype(np.uint16): chance_table(ZERO_BITS, MANTISSA_BITS), np.dtype(np.uint8): chance_table(SHORT_ZERO_BITS, SHORT_MANTISSA_BITS)}
+
+
+def by_chance(n: np.ndarray, m: np.ndarray, kind=np.uint16) -> np.ndarray:
+    """How many registers of two disjoint sets of n and m are expected to agree."""
+    n, m = np.asarray(n, float), np.asarray(m, float)
+    both, table = np.maximum(n + m, 1), CHANCE[np.dtype(kind)]
+    return REGISTERS * n * m / both**2 * np.interp(np.log2(both) * 8, np.arange(len(table)), table)
+
+
+def estimates(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates and how many registers they rest on. Registers that differ in what they stand for agree
+    by chance as often as those of disjoint sets; that is taken out."""
+    used = ((x != 0) | (y != 0)).sum(axis=1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    chance = by_chance(n, m, y.dtype)
+    return (same - chance) / np.maximum(used - chance, 1), used
+
+
+def likely(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Pairs whose estimate is not below the similarity by over DEVIATIONS deviations."""
+    est, used = estimates(x, y, n, m)
+    union = np.maximum((n + m) / (1 + least), used)  # registers are drawn from it without return
+    return est >= least - 0.01 - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1) * (1 - used / union))
+
+
+def fingerprints(h: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """128 bits of each set, as two columns."""
+    out = []
+    for salt in mix(np.arange(1, 3, dtype=U64)):
+        sums = np.append(U64(0), np.cumsum(mix(h ^ salt), dtype=U64))
+        out.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
+    return out
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
+def unpack(t: pa.Table, column: str, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), dtype).reshape(-1, width)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, and its registers."""
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch):
                 h, first = shingle_sets(Words(part.column("text"), lower=True), width)
-                size = np.diff(first)
-                prints = []
-                for salt in mix(np.arange(1, 3, dtype=U64)):
-                    sums = np.append(U64(0), np.cumsum(mix(h ^ salt), dtype=U64))
-                    prints.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
-                regs = registers(h, first)
-                keys = [k.tobytes() for k in band_keys(regs)]
-                sigs = [r.tobytes() for r in np.where(regs == 0, 0, 1 + regs % 255).astype(np.uint8)]
-                cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "keys", "sig"])
+                cols = [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *fingerprints(h, first), packed(registers(h, first))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "regs"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, SIG_DDL)
+    return docs.mapInArrow(sign, SIG_DDL)
 
 
-def unpack(t: pa.Table, column: str, dtype, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(column).to_pylist()), dtype).reshape(-1, width)
-
+def band_mates(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): each class and the least one with which it shares a band, once for every such least one.
 
-def bucket_rows(classes: DataFrame, n: int) -> DataFrame:
-    """A row for each class and band whose key classes of several components share, dealt to block pairs.
-
-    A bucket of more than BLOCK members is cut into blocks, and each pair of blocks is compared on its own.
-    """
+    Classes that share a band hang together by these edges, and there is one a class and band at most."""
     groups = max(1, -(-n // GROUP_ROWS))
-    dealt = Dealt(classes.withColumn("grp", F.pmod(F.xxhash64("rep"), F.lit(groups))), groups, 1 << max(0, n // RANGE_ROWS).bit_length(), ["rep"])
-    ranges = dealt.ranges
+    dealt = Dealt(classes.withColumn("grp", F.pmod(F.xxhash64("rep"), F.lit(groups))), groups, 1 << max(0, n // RANGE_ROWS).bit_length(), ["rep"], n * REGISTERS * 2)
 
     def keyed(t: pa.Table):
-        keys = unpack(t, "keys", U64, BANDS)
-        return np.nonzero(keys)[0], distinct(keys[keys != 0])
+        keys = band_keys(unpack(t, "regs", np.uint16, REGISTERS))
+        rep = t.column("rep").to_numpy()[np.nonzero(keys)[0]]
+        h, _, where, _ = distinct(keys[keys != 0])
+        least = np.full(len(h), 2**63 - 1)
+        np.minimum.at(least, where, rep)
+        return rep, h, where, least
 
     def ask(grp, t, _):
-        row, (h, _, where, count) = keyed(t)
-        comp = t.column("comp").to_numpy()[row]
-        low, high = np.full(len(h), 2**63 - 1), np.full(len(h), -(2**63))
-        np.minimum.at(low, where, comp)
-        np.maximum.at(high, where, comp)
-        return to_cells(cells(grp, 0, h, ranges, count.astype(np.uint32), low, high))
+        _, h, _, least = keyed(t)
+        return to_cells(dealt.ask(grp, 0, h, least))
 
     def finish(grp, t, heard):
-        empty = pa.table({c: pa.array([], k) for c, k in zip(ROW_NAMES, ROW_TYPES, strict=True)})
         if not t.num_rows:
-            return empty
-        row, (h, _, where, _) = keyed(t)
-        members = answers(heard, 0, lambda x: unplanes(x, np.uint32) if x else np.zeros(0, np.uint32)).astype(np.int64)[where]
-        use = np.flatnonzero(members)
-        if not len(use):
-            return empty
-        blocks, row, key = -(-members[use] // BLOCK), row[use], h[where[use]]
-        rep = t.column("rep").to_numpy()
-        own = (mix(rep[row].view(U64)) % blocks.astype(U64)).astype(np.int64)
-        again = np.repeat(np.arange(len(row)), blocks)
-        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        row, key, own = row[again], key[again], own[again]
-        tags = pa.array([x.tobytes() for x in unpack(t, "keys", U64, BANDS).astype(np.uint32)], pa.binary())
-        cols = [key.view(np.int64), np.minimum(own, other), np.maximum(own, other), own, rep[row], t.column("comp").to_numpy()[row], t.column("n").to_numpy()[row]]
-        arrays = [pa.array(c, k) for c, k in zip(cols, ROW_TYPES, strict=False)]
-        return pa.Table.from_arrays([*arrays, tags.take(pa.array(row)), t.column("sig").combine_chunks().take(pa.array(row))], names=ROW_NAMES)
-
-    return dealt.emit(finish, Dealt.own(dealt.emit(ask), own_buckets), ROW_DDL)
-
-
-ROW_NAMES = ["key", "i", "j", "block", "rep", "comp", "n", "tags", "sig"]
-ROW_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-
-def own_buckets(raw: list[bytes]) -> list[bytes]:
-    """Members of each key, 0 where all are of one component."""
-    parts_ = [uncell(x, np.uint32, np.int64, np.int64) for x in raw]
-    h, count, low, high = (np.concatenate([p[i] for p in parts_]) for i in range(4))
-    order = np.argsort(h, kind="stable")
-    at = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
-    place = np.empty(len(h), np.int64)
-    place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-    several = np.minimum.reduceat(low[order], at) < np.maximum.reduceat(high[order], at)
-    total = np.where(several, np.add.reduceat(count[order].astype(np.int64), at), 0)[place].astype(np.uint32)
-    return [planes(x) for x in np.split(total, np.cumsum([len(p[0]) for p in parts_])[:-1])]
-
-
-def estimates(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates corrected for registers that agree by chance, and how many registers they rest on."""
-    x, y = sig[a], sig[b]
-    used = ((x != 0) | (y != 0)).sum(axis=1)
-    same = ((x == y) & (x != 0)).sum(axis=1) / np.maximum(used, 1)
-    return (same - 1 / 255) / (1 - 1 / 255), used
-
-
-def likely(sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least: float):
-    """Pairs whose sizes allow the similarity and whose estimate is not below it by over four deviations."""
-    ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
-    a, b = a[ok], b[ok]
-    for cut in (64, REGISTERS):
-        est, used = estimates(sig[:, :cut], a, b)
-        union = np.maximum((n[a] + n[b]) / (1 + least), used)  # registers are drawn from it without return
-        ok = est >= least - 0.01 - 4 * np.sqrt(least * (1 - least) / np.maximum(used, 1) * (1 - used / union))
-        a, b, est = a[ok], b[ok], est[ok]
-    return a, b, est
-
-
-def pairs_within(size: np.ndarray, most: int = 100_000):
-    """Index pairs of consecutive groups of the given sizes, in chunks."""
-    start = np.cumsum(size) - size
-    rows = np.arange(int(size.sum()))
-    left = np.repeat(start + size, size) - rows
-    step = 1
-    while len(rows := rows[left[rows] > step]):
-        for k in range(0, len(rows), most):
-            yield rows[k : k + most], rows[k : k + most] + step
-        step += 1
-
-
-def candidates(classes: DataFrame, n: int, least: float, spanning: bool) -> DataFrame:
-    """Pairs (a < b) of different components that share a band and may be similar enough. With ``spanning``
-    a block only considers the edges of its maximum spanning forest, so a group of m copies has m - 1.
-
-    A pair is given in the first of the bands that the two share. Forests lose nothing by that: the ends of
-    an edge left out are joined, in the bucket of that earlier band, by a forest of its own."""
-    rows = bucket_rows(classes, n)
-    rows = rows.repartition(parts(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(t: pa.Table) -> pa.Table:
-        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        at = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        size = np.diff(np.append(at, t.num_rows))
-        rep, comp, n, block = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
-        apart, sig, found = key[1] != key[2], unpack(t, "sig", np.uint8, REGISTERS), []
-        for a, b in pairs_within(size):
-            ok = (comp[a] != comp[b]) & ~(apart[a] & (block[a] == block[b]))
-            found.append(likely(sig, n, a[ok], b[ok], least))
-        a, b, est = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        if spanning and len(a):
-            keep = forest(t.num_rows, a, b, est)
-            a, b = a[keep], b[keep]
-        if len(a):
-            tags = unpack(t, "tags", np.uint32, BANDS)
-            here = key[0].view(U64).astype(np.uint32)[a]
-            found = []
-            for k in range(0, len(a), 100_000):
-                x, y = tags[a[k : k + 100_000]], tags[b[k : k + 100_000]]
-                first = ((x == y) & (x != 0)).argmax(axis=1)
-                found.append(x[np.arange(len(x)), first] == here[k : k + 100_000])
-            first = np.concatenate(found)
-            a, b = a[first], b[first]
-        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
-
-    return rows.mapInArrow(lambda batches: whole_groups(batches, compare, ("key", "i", "j")), PAIR_DDL).distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Those pairs for which 100 * intersection >= percent * union, on full shingle sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+            return pa.table({c: pa.array([], pa.int64()) for c in "ab"})
+        rep, h, where, least = keyed(t)
+        least = least - answers(heard, 0)
+        pair = np.stack([rep, least[where]])[:, least[where] < rep]
+        pair = np.unique(pair, axis=1)
+        return pa.table({"a": pair[0], "b": pair[1]})
+
+    return dealt.emit(finish, dealt.own(dealt.emit(ask), below, np.int64), PAIR_DDL)
+
+
+def below(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How far the least class of each key is below the least one of its group (mostly 0, which packs well)."""
+    _, _, where, count = distinct(h)
+    every = np.full(len(count), 2**63 - 1)
+    np.minimum.at(every, where, least)
+    return least - every[where]
+
+
+def close_mates(mates: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Those of the edges that estimates leave: a spanning forest of the likely pairs among the mates of each class
+    (which hold all pairs that share a band with it). Classes with over MATES mates keep their edges unjudged."""
+    size = mates.groupBy("b").count().filter(F.col("count") > MATES).select("b")
+    size = materialise(size, "near-hot")
+    many = mates.join(size, "b", "left_semi").select("a", "b")
+    few = mates.join(size, "b", "left_anti")
+    asked = few.select(F.col("a").alias("rep"), "b").unionByName(few.select(F.col("b").alias("rep"), "b").distinct())
+
+    def short(batches):
+        for batch in batches:
+            sig = shortened(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), packed(sig)], names=["rep", "n", "sig"])
+
+    rows = asked.join(classes.select("rep", "n", "regs").mapInArrow(short, "rep long, n long, sig binary"), "rep")
+
+    def judge(t: pa.Table) -> pa.Table:
+        key, rep, n = (t.column(c).to_numpy() for c in ("b", "rep", "n"))
+        cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), t.num_rows)
+        sig = unpack(t, "sig", np.uint8, REGISTERS)
+        found = [(s + x, s + y) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for x, y in hanging(n[s:e], sig[s:e], least)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": rep[a], "b": rep[b]})
+
+    rows = rows.repartition(parts(mates.sparkSession), "b").sortWithinPartitions("b", "rep")
+    return rows.mapInArrow(lambda batches: whole_groups(batches, judge, ("b",)), PAIR_DDL).unionByName(many).distinct()
+
+
+def hanging(n: np.ndarray, sig: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and estimates allow the similarity."""
+    left, edges = np.ones(len(n), bool), []
+    for seed in range(len(n)):
+        todo = [seed] if left[seed] else []
+        left[seed] = False
+        while todo:
+            x = todo.pop()
+            y = np.flatnonzero(left)
+            y = y[np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9]
+            if len(y):
+                y = y[likely(sig[x][None, :], sig[y], n[x], n[y], least)]
+                left[y] = False
+                edges += [(x, k) for k in y.tolist()]
+                todo += y.tolist()
+    return edges
+
+
+def family_sets(docs: DataFrame, families: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets and registers of the classes that have band mates; equal rows once."""
+    ids = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    few = families.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id")
 
     def sets(batches):
         for batch in batches:
             for part in slices(batch):
                 h, first = shingle_sets(Words(part.column("text"), lower=True), width)
-                raw = [h[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "items"])
+                raw = pa.array([h[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                cols = [part.column("doc_id"), part.column("family"), pa.array(np.diff(first), pa.int64()), *fingerprints(h, first), packed(registers(h, first)), raw]
+                yield pa.RecordBatch.from_arrays(cols, schema=SET)
 
-    found = materialise(rows.mapInArrow(sets, "doc_id long, items binary"), "near-sets")
+    return rows.mapInArrow(sets, SET_DDL).filter("n > 0").dropDuplicates(["rep", "f1", "f2"])
 
-    def check(batches):
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(x, y, strict=True)):
-                p, q = np.frombuffer(p, U64), np.frombuffer(q, U64)
-                same = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep[i] = 100 * same >= percent * (len(p) + len(q) - same)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    x = found.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    y = found.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, PAIR_DDL).distinct()
+def shared_items(sets: DataFrame, least: float) -> DataFrame:
+    """Each set cut down to the shingles that another set has, too, without the sets that keep too few.
+
+    A shingle of one set alone is in no intersection. Of two similar sets each has a share of ``least`` in the
+    intersection, so a set with fewer shared shingles links with nothing. Both steps are exact."""
+    size = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n * 8
+    groups = max(1, -(-size // GROUP_BYTES))
+    dealt = Dealt(sets.withColumn("grp", F.pmod(F.xxhash64("rep", "f1"), F.lit(groups))), groups, 1 << max(0, size // (4 * GROUP_BYTES)).bit_length(), ["rep", "f1", "f2"], size)
+
+    def keyed(t: pa.Table):
+        return distinct(np.frombuffer(b"".join(t.column("items").to_pylist()), U64) & ~U64(1))
+
+    def ask(grp, t, _):
+        h, _, _, count = keyed(t)
+        return to_cells(dealt.ask(grp, 0, h | (count > 1).astype(U64)))
+
+    def finish(grp, t, heard):
+        if not t.num_rows:
+            return SET.empty_table()
+        _, _, where, _ = keyed(t)
+        n = t.column("n").to_numpy()
+        keep = answers(heard, 0, bool)[where]
+        items, at = np.frombuffer(b"".join(t.column("items").to_pylist()), U64), np.append(0, np.cumsum(n))
+        enough = np.diff(np.append(0, np.cumsum(keep))[at]) >= least * n - 1e-9
+        raw = [items[i:j][keep[i:j]].tobytes() if ok else b"" for i, j, ok in zip(at[:-1], at[1:], enough, strict=True)]
+        return t.select(SET.names).set_column(SET.names.index("items"), SET.field("items"), pa.array(raw, pa.binary())).filter(pa.array(enough))
+
+    return dealt.emit(finish, dealt.own(dealt.emit(ask), repeated), SET_DDL)
+
+
+def similar(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    same = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 100 * same >= percent * (n + m - same)
+
+
+def spanning(n: np.ndarray, regs: np.ndarray, items: list[np.ndarray], block: np.ndarray, hub: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets; with two blocks, of the links between them. ``hub`` sets
+    are one component from the start.
+
+    Sets already reached are not compared again: each one found is compared, in turn, with those not reached.
+    Sizes and shared shingles must allow the similarity, then the estimate, then full sets decide."""
+    least, size = percent / 100, np.array([len(x) for x in items])
+    apart, at = block.min() != block.max(), np.append(0, np.cumsum(size))
+    token = np.unique(np.concatenate(items), return_inverse=True)[1]
+    mark, left = np.zeros(int(token.max(initial=0)) + 1, bool), ~hub
+    todo, edges = np.flatnonzero(hub).tolist(), []
+    for seed in range(len(n) + 1):
+        while todo:
+            x = todo.pop()
+            y = np.flatnonzero(left & (block != block[x]) if apart else left)
+            y = y[np.minimum(size[x], size[y]) * (1 + least) >= least * (n[x] + n[y]) - 1e-6]
+            if len(y):
+                y = y[likely(regs[x][None, :], regs[y], n[x], n[y], least)]
+            if len(y):
+                mark[token[at[x] : at[x + 1]]] = True
+                found = mark[np.concatenate([token[at[k] : at[k + 1]] for k in y])]
+                mark[token[at[x] : at[x + 1]]] = False
+                same = np.add.reduceat(found, np.cumsum(size[y]) - size[y], dtype=np.int64)
+                y = y[100 * same >= percent * (n[x] + n[y] - same)]
+                left[y] = False
+                edges += [(x, k) for k in y.tolist()]
+                todo += y.tolist()
+        if seed < len(n) and left[seed]:
+            left[seed] = False
+            todo.append(seed)
+    return edges
+
+
+def links(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of every family, from blocks of about BLOCK_BYTES.
+
+    A family of one block is one group. In a larger one every set is first compared with a hub, the set with the
+    largest share of shared shingles; sets that link with it need no comparison among each other, so only the
+    others are compared, block by block, with each other and with those."""
+    bytes_ = F.octet_length("items") + F.octet_length("regs") + 64
+    large = materialise(shared.groupBy("family").agg(F.sum(bytes_).alias("size")).filter(F.col("size") > BLOCK_BYTES), "near-large")
+    spark = shared.sparkSession
+    if not large.limit(1).count():
+        rows, hubs = shared.withColumns({"hub": F.lit(False), "block": F.lit(0), "i": F.lit(0), "j": F.lit(0)}), None
+    else:
+        inside = shared.join(large.select("family"), "family", "left_semi")
+        hub = inside.groupBy("family").agg(F.max(F.struct((F.octet_length("items") / F.col("n")).alias("share"), "rep", "items", "n")).alias("h"))
+        hub = materialise(hub.select("family", F.col("h.rep").alias("hub_rep"), F.col("h.items").alias("hub_items"), F.col("h.n").alias("hub_n")), "near-hubs")
+
+        def near_hub(batches):
+            for batch in batches:
+                x, y, n, m = (batch.column(c).to_pylist() for c in ("items", "hub_items", "n", "hub_n"))
+                near = [similar(np.frombuffer(p, U64), np.frombuffer(q, U64), a, b, percent) for p, q, a, b in zip(x, y, n, m, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SET.names), batch.column("hub_rep"), pa.array(near, pa.bool_())], names=[*SET.names, "hub_rep", "hub"])
+
+        tried = inside.join(hub, "family").select(*SET.names, "hub_rep", "hub_items", "hub_n").mapInArrow(near_hub, f"{SET_DDL}, hub_rep long, hub boolean")
+        tried = materialise(tried, "near-hub-links")
+        hubs = tried.filter("hub AND rep <> hub_rep").select(F.col("hub_rep").alias("a"), F.col("rep").alias("b"))
+        per = tried.groupBy("family").agg(*(F.ceil(F.coalesce(F.sum(F.when(F.col("hub") == h, bytes_)), F.lit(0)) / BLOCK_BYTES).cast("int").alias(c) for c, h in (("others", False), ("near", True))))
+        own = F.xxhash64("rep", "f1")
+        split = tried.join(per, "family").withColumn("block", F.when(F.col("hub"), F.col("others") + F.pmod(own, F.greatest("near", F.lit(1)))).otherwise(F.pmod(own, F.greatest("others", F.lit(1)))).cast("int"))
+        to = F.when(F.col("hub"), F.col("others")).otherwise(F.col("others") + F.col("near"))
+        split = split.filter("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0), to - 1)))
+        split = split.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        rows = shared.join(large.select("family"), "family", "left_anti").withColumns({"hub": F.lit(False), "block": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+        rows = rows.unionByName(split.select(*rows.columns))
+
+    def link(t: pa.Table) -> pa.Table:
+        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("family", "i", "j")])
+        cut = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))), t.num_rows)
+        rep, n, block = (t.column(c).to_numpy() for c in ("rep", "n", "block"))
+        hub, regs = t.column("hub").to_numpy(), unpack(t, "regs", np.uint16, REGISTERS)
+        items = [np.frombuffer(x, U64) for x in t.column("items").to_pylist()]
+        found = [(s + x, s + y) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for x, y in spanning(n[s:e], regs[s:e], items[s:e], block[s:e], hub[s:e], percent)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": rep[a], "b": rep[b]})
+
+    wanted = rows.select("family", "i", "j", "block", "hub", "rep", "n", "regs", "items")
+    wanted = wanted.repartition(parts(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
+    found = wanted.mapInArrow(lambda batches: whole_groups(batches, link, ("family", "i", "j")), PAIR_DDL)
+    return found if hubs is None else found.unionByName(hubs)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,34 +359,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id:
     (doc_id = component_id), one row an input row. Two documents are linked if 100 * intersection >=
     percent * union. Words are runs of characters other than space and \\t..\\r, A-Z in lower case.
 
-    Equal sets are one class, whatever their number. Classes are banded by HyperMinHash registers; a first
-    round verifies a spanning forest of each bucket's likely pairs, a second one every likely pair between
-    components that are still apart. No pair below the threshold links; one above it is missed only if it
-    shares none of the bands or its estimate is off by over four deviations.
+    Equal sets are one class, whatever their number. Classes are described by HyperMinHash registers; those
+    that share a band of registers, and whose collision-corrected estimates allow a link, hang together in a
+    family. Each family's sets are cut down to shared shingles, and links are looked for inside it: estimates
+    by all bits of the registers first, full sets then. No task
+    emits more than one link a set, so nothing that is shuffled grows with the square of a family, whose
+    blocks alone are compared pairwise. No pair below the threshold links. One just at it is missed only if it
+    shares no band (1e-6) or its estimate is off by over five deviations (3e-7), and its ends are not joined
+    by other links.
 
     Texts of fewer words are one shingle; null, empty and blank texts have none and link with nothing, as do
     rows with a null doc_id (their component is null, kept is true). Rows that share a doc_id are one
-    document. An empty table gives an empty result.
+    document. Similarity just at the threshold links. An empty table gives an empty result; further columns,
+    whatever their names, are ignored.
     """
     least = percent / 100
-    signed = materialise(signatures(docs, width, doc_id, text), "near-signatures")
+    rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
+    signed = materialise(signatures(rows, width), "near-signatures")
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "keys", "sig")).alias("m"))
-    classes = materialise(classes.select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), "m.keys", "m.sig"), "near-classes")
-    n = classes.count()
-    sets = classes.select("rep", F.col("rep").alias("comp"), "n", "keys", "sig")
-    tried = materialise(candidates(sets, n, least, True), "near-pairs")
-    links = materialise(verified(tried, docs, width, percent, doc_id, text), "near-links")
-    found = components(links)
-    joined = sets.drop("comp").join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
-    joined = materialise(joined.select("rep", F.coalesce("comp", "rep").alias("comp"), "n", "keys", "sig"), "near-labelled")
-    more = materialise(candidates(joined, n, least, False).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    if more.limit(1).count():
-        links = links.unionByName(verified(more, docs, width, percent, doc_id, text))
-        found = components(links)
+    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "regs")).alias("m"))
+    classes = materialise(classes.select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), "m.regs"), "near-classes")
+    mates = materialise(band_mates(classes.select("rep", "regs"), classes.count()), "near-mates")
+    families = components(close_mates(mates, classes, least))
+    shared = materialise(shared_items(materialise(family_sets(rows, families, width), "near-sets"), least), "near-shared")
+    found = components(links(shared, percent))
     at = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     at = materialise(at.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "near-components")
-    linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "f1", "f2").join(at, ["f1", "f2", "n_shingles"])
+    linked = real.select("doc_id", "n_shingles", "f1", "f2").join(at, ["f1", "f2", "n_shingles"])
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -278,19 +394,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that near_duplicates keeps, and one of those that repeat an id.
 
-    Rows with a null id stay. Ids to drop are broadcast up to BROADCAST_IDS, else joined by shuffle.
+    Rows with a null id stay, as do null and empty texts. An empty table gives an empty result; columns and their
+    names are the input's, whatever they are. Ids to drop are broadcast up to BROADCAST_IDS, else joined by shuffle.
     """
+    plain, key = numbered(docs), f"c{index_of(docs, doc_id)}"
     classes = materialise(near_duplicates(docs, width, percent, doc_id, text), "near-classes")
-    out = without(docs, classes.filter("NOT kept").select("doc_id").distinct(), doc_id)
+    out = without(plain, classes.filter("NOT kept").select("doc_id").distinct(), key)
     again = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = materialise(again, "near-repeated")
     if again.limit(1).count():
-        repeated = out.join(again.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left_semi")
-        out = without(out, again, doc_id).unionByName(repeated.dropDuplicates([doc_id]))
-    return out
+        repeated = out.join(again, F.col(key).cast("long") == F.col("doc_id"), "left_semi")
+        out = without(out, again, key).unionByName(repeated.dropDuplicates([key]))
+    return out.toDF(*docs.columns)
 
 
-def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
-    ids = ids.withColumnRenamed("doc_id", "__id")
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, F.col(key).cast("long") == F.col("doc_id"), "left_anti")

@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.blocks import U64, forest, mix, whole_groups
-from tideglass.llm.common import Shared, materialise, parts
+from tideglass.llm.blocks import U64, mix, whole_groups
+from tideglass.llm.common import Shared, index_of, materialise, numbered, parts
 from tideglass.llm.graph import components
 
-#: A vector is described by its PREFIX nearest pivots in order, posted in the lists of the first LISTS of
-#: them, and compared with vectors that share SHARED pivots at least. Isotropic pairs in 64 dimensions at
-#: cosine 0.9 are found with a probability over 0.998 for 200 to 2000 pivots.
-PREFIX, LISTS, SHARED = 12, 8, 2
 #: Pivots: this many times the root of the number of vectors, sampled; lists then grow as the root, too.
-PIVOTS_PER_ROOT, FEWEST_PIVOTS, MOST_PIVOTS = 2.0, 32, 65_536
-#: Pivots closer than this to an earlier one tell nothing new, as when a third of all vectors are alike.
-PIVOT_COSINE = 0.8
-BLOCK = 1024
+PIVOTS_PER_ROOT, FEWEST_PIVOTS = 2.0, 32
+#: Sampled vectors on which the length of a prefix and the least shared count are chosen, and the recall asked for there.
+TUNE_ROWS, RECALL = 1500, 0.98
+PREFIXES, COUNTS = (8, 12, 16, 24, 32, 48, 64), (4, 3, 2, 1)
+BLOCK = 4096
 SIGNED = "vec_id long, f1 long, f2 long, dim int, raw binary"
 NAMES = ["pivot", "i", "j", "block", "rep", "copies", "dim", "prefix", "raw"]
 TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -71,7 +69,9 @@ def signed(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             cols = [batch.column("vec_id"), *(pa.array([p[i] for p in prints], pa.int64()) for i in range(2)), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "f1", "f2", "dim", "raw"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).mapInArrow(sign, SIGNED)
+    plain = numbered(vectors)
+    column = {c: F.col(f"c{index_of(vectors, c)}") for c in (vec_id, embedding)}
+    return plain.select(column[vec_id].cast("long").alias("vec_id"), column[embedding].cast("array<double>").alias("embedding")).mapInArrow(sign, SIGNED)
 
 
 def fingerprint(raw: bytes) -> tuple[int, int]:
@@ -79,85 +79,155 @@ def fingerprint(raw: bytes) -> tuple[int, int]:
     return tuple(int(mix(x * s).sum(dtype=U64).view(np.int64)) for s in mix(np.arange(1, 3, dtype=U64)) | U64(1))
 
 
-def choose_pivots(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Pivots by dimension, from a hash sample of expected size PIVOTS_PER_ROOT * sqrt(n) (MOST_PIVOTS at
-    most); the driver holds no more than that many vectors."""
-    want = min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n))))
-    share = min(1.0, want / max(1, n))
-    rows = classes.filter(F.pmod(F.xxhash64("f1", "f2"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "dim", "raw").collect()
-    out = {}
-    for d in {r.dim for r in rows}:
-        of_dim = sorted((r.rep, bytes(r.raw)) for r in rows if r.dim == d)
-        x = unit(unpack([r[1] for r in of_dim], np.array([d])))
-        keep: list[int] = []
-        for i in range(len(x)):
-            if not keep or (x[keep] @ x[i]).max() < PIVOT_COSINE:
-                keep.append(i)
-        out[d] = x[keep]
-    return out
+@dataclass
+class Index:
+    """How vectors of one dimension are described: by their ``prefix`` nearest pivots, in order, as seen from the
+    mean, so that vectors in a narrow cone still differ. Candidates share ``shared`` of them. Without pivots
+    there is one list of all vectors."""
 
+    mean: np.ndarray
+    pivots: np.ndarray
+    prefix: int
+    shared: int
 
-def describe(x: np.ndarray, pivots: np.ndarray | None, k: int) -> np.ndarray:
-    """The numbers of the k nearest pivots, nearest first, filled up with -1."""
-    out = np.full((len(x), k), -1, np.int32)
-    if pivots is not None:
-        near = x @ pivots.T
-        k = min(k, near.shape[1])
+    def describe(self, x: np.ndarray, k: int | None = None) -> np.ndarray:
+        """The numbers of the nearest pivots of unit vectors, nearest first; -1 where there is no pivot."""
+        k = self.prefix if k is None else k
+        if not k:
+            return np.full((len(x), 1), -1, np.int32)
+        near = (x - self.mean) @ self.pivots.T
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        out[:, :k] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+        return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+
+
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+
+
+def planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at just ``least``: from each vector some way towards the next one."""
+    other = np.roll(x, 1, axis=0)
+    r = other - (other * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((r * r).sum(axis=1, keepdims=True))
+    ok = size[:, 0] > 1e-6
+    return x[ok], least * x[ok] + math.sqrt(max(0.0, 1 - least * least)) * r[ok] / size[ok]
+
+
+def fit(x: np.ndarray, want: int, least: float) -> Index:
+    """Pivots from the first ``want`` sampled unit vectors, and the shortest prefix and largest shared count that
+    find RECALL of the pairs planted at the threshold and of the sample's own links. If none does, the index has
+    no pivots and every pair is compared."""
+    mean = x.mean(axis=0)
+    from_mean = x[:want] - mean
+    from_mean = from_mean[np.abs(from_mean).max(axis=1) > 1e-9]
+    index = Index(mean, np.zeros((0, x.shape[1])), 0, 0)
+    if not len(from_mean):
+        return index
+    pivots, keep = unit(from_mean), np.ones(len(from_mean), bool)
+    alike = (1 + least) / 2  # a pivot that close to an earlier one tells nothing new, as in a family of near copies
+    for at in range(0, len(pivots), 256):
+        rows = slice(at, at + 256)
+        near = pivots[rows] @ pivots[: at + 256][keep[: at + 256]].T
+        order = np.flatnonzero(keep[: at + 256])
+        for i in range(len(near)):
+            keep[at + i] = not ((near[i] >= alike) & (order < at + i) & keep[order]).any()
+    index = Index(mean, pivots[keep], 0, 0)
+    tune = x[:TUNE_ROWS]
+    near = np.triu(tune @ tune.T, 1) >= least
+    own = np.argwhere(near)
+    own = own[np.random.default_rng(0).permutation(len(own))[:4000]]
+    pairs = [planted(tune[:400], least), (tune[own[:, 0]], tune[own[:, 1]])]
+    for k in PREFIXES:
+        if k <= len(index.pivots):
+            counts = [shared_counts(index.describe(a, k), index.describe(b, k)) for a, b in pairs if len(a)]
+            for least_shared in COUNTS:
+                if all((c >= least_shared).mean() >= RECALL for c in counts):
+                    return Index(mean, index.pivots, k, least_shared)
+    return Index(mean, index.pivots[:0], 0, 0)
+
+
+def fit_indexes(classes: DataFrame, n: int, least: float) -> dict[int, Index]:
+    """An index for each dimension, from a hash sample of PIVOTS_PER_ROOT * sqrt(n) vectors, or TUNE_ROWS if that is
+    more; the driver holds no more than that many, and that many pivots are broadcast."""
+    want = max(FEWEST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n)))
+    share = min(1.0, max(want, TUNE_ROWS) / max(1, n))
+    rows = classes.filter(F.pmod(F.xxhash64("f1", "f2"), F.lit(1 << 30)) < int(share * (1 << 30))).select("f1", "f2", "dim", "raw").collect()
+    out = {}
+    for d in sorted({r.dim for r in rows}):
+        of_dim = sorted((r.f1, r.f2, bytes(r.raw)) for r in rows if r.dim == d)
+        out[d] = fit(unit(unpack([r[2] for r in of_dim], np.array([d]))), want, least)
     return out
 
 
 def lists_of(prefix: np.ndarray, dim: int) -> np.ndarray:
-    """List numbers by dimension and pivot; -1 is the list of a dimension without pivots."""
-    lists = prefix[:, :LISTS].astype(np.int64)
-    lists = np.where(lists >= 0, (dim << 20) + lists + 1, -1)
-    lists[:, 0] = np.where(lists[:, 0] < 0, dim << 20, lists[:, 0])
-    return lists
+    """List numbers by dimension and pivot; pivot -1 is the list of all vectors of the dimension."""
+    return (dim << 40) + prefix.astype(np.int64) + 1
 
 
-def described(batches, pivots: dict[int, np.ndarray]):
+def described(batches, indexes: dict[int, Index]):
     """(rows of one dimension, their units' prefixes and lists)."""
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         for d in np.unique(dims).tolist():
             part = batch.filter(pa.array(dims == d))
-            prefix = describe(unit(unpack(part.column("raw").to_pylist(), np.array([d]))), pivots.get(d), PREFIX)
+            index = indexes.get(d) or Index(np.zeros(d), np.zeros((0, d)), 0, 0)
+            prefix = index.describe(unit(unpack(part.column("raw").to_pylist(), np.array([d]))))
             yield part, prefix, lists_of(prefix, d)
 
 
-def linked_in(t: pa.Table, least: float) -> pa.Table:
+def counted(prefix: np.ndarray, own: int, shared: int):
+    """For each row of a list: the later rows that share enough pivots with it, and no list before this one.
+
+    ``own`` is the list's pivot. Only pivot numbers are read, through the postings of this list's other pivots."""
+    rows, k = prefix.shape
+    if own < 0:
+        for a in range(rows):
+            yield a, np.arange(a + 1, rows)
+        return
+    order = np.argsort(prefix.ravel(), kind="stable")
+    pivots, first = np.unique(prefix.ravel()[order], return_index=True)
+    posting = np.split(order // k, first[1:])
+    at = np.searchsorted(pivots, prefix)
+    lower, higher = (prefix < own), (prefix > own)
+    for a in range(rows):
+        count = np.ones(rows, np.int64)
+        if shared > 1 and higher[a].any():
+            count += np.bincount(np.concatenate([posting[p] for p in at[a][higher[a]]]), minlength=rows)
+        ok = count >= shared
+        if lower[a].any():
+            ok[np.concatenate([posting[p] for p in at[a][lower[a]]])] = False
+        yield a, a + 1 + np.flatnonzero(ok[a + 1 :])
+
+
+def linked_in(t: pa.Table, least: float, indexes: dict[int, Index]) -> pa.Table:
     """Degrees (a, null, n) and a spanning forest (a, b, 0) of the links that belong to each list's block pair.
 
-    A pair belongs to the least list that holds both of its vectors, so it counts once."""
+    A pair belongs to the least list that holds both of its vectors, so it counts once. Shared pivots are counted
+    first; cosines are taken of pairs with enough of them."""
     key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j")])
     cut = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))), t.num_rows)
     rep, copies, block, dims = (t.column(c).to_numpy() for c in ("rep", "copies", "block", "dim"))
-    raw, prefixes = t.column("raw").to_pylist(), np.frombuffer(b"".join(t.column("prefix").to_pylist()), np.int32).reshape(-1, PREFIX)
-    degree, edges = np.zeros(t.num_rows, np.int64), []
+    raw, prefixes = t.column("raw").to_pylist(), t.column("prefix").to_pylist()
+    degree, label, edges = np.zeros(t.num_rows, np.int64), np.arange(t.num_rows), []
     for s, e in zip(cut[:-1], cut[1:], strict=True):
+        if e - s < 2:
+            continue
+        d = int(dims[s])
         x = unit(unpack(raw[s:e], dims[s:e]))
-        lists = lists_of(prefixes[s:e], int(dims[s]))
-        apart, own = key[1, s] != key[2, s], block[s:e]
-        for at in range(0, e - s, 256):
-            near = x[at : at + 256] @ x.T
-            a, b = np.nonzero(near >= least)
-            w, a = near[a, b], a + at
-            ok = (a < b) & ~(apart & (own[a] == own[b]))
-            a, b, w = a[ok], b[ok], w[ok]
-            for k in range(0, len(a), 50_000):
-                p, q, v = a[k : k + 50_000], b[k : k + 50_000], w[k : k + 50_000]
-                px, qx = prefixes[s + p], prefixes[s + q]
-                shared = ((px[:, :, None] == qx[:, None, :]) & (px[:, :, None] >= 0)).any(axis=2).sum(axis=1)
-                lp, lq = lists[p], lists[q]
-                both = np.where((lp[:, :, None] == lq[:, None, :]).any(axis=2) & (lp >= 0), lp, 1 << 62).min(axis=1)
-                ok = (both == key[0, s]) & ((shared >= SHARED) | (px[:, 0] < 0) | ((px >= 0).sum(axis=1) < SHARED))
-                p, q, v = p[ok] + s, q[ok] + s, v[ok]
-                degree += np.bincount(p, copies[q], t.num_rows).astype(np.int64) + np.bincount(q, copies[p], t.num_rows).astype(np.int64)
-                edges.append((p, q, v))
-    a, b, w = (np.concatenate([x[i] for x in edges]) if edges else np.zeros(0, np.int64) for i in range(3))
-    keep = forest(t.num_rows, a, b, w) if len(a) else a
-    a, b = a[keep], b[keep]
+        prefix = np.frombuffer(b"".join(prefixes[s:e]), np.int32).reshape(e - s, -1)
+        apart, own, weight, name, deg = key[1, s] != key[2, s], block[s:e], copies[s:e], label[s:e], degree[s:e]
+        for a, b in counted(prefix, int(key[0, s] - (d << 40) - 1), indexes[d].shared if d in indexes else 0):
+            if apart:
+                b = b[own[b] != own[a]]
+            b = b[x[b] @ x[a] >= least] if len(b) else b
+            if len(b):
+                deg[a] += weight[b].sum()
+                deg[b] += weight[a]
+                new, at = np.unique(name[b], return_index=True)
+                for k in at[new != name[a]].tolist():
+                    edges.append((s + a, s + b[k]))
+                name[np.isin(name, new)] = name[a]
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
     some = np.flatnonzero(degree)
     return pa.table({
         "a": pa.array(np.concatenate([rep[some], rep[a]]), pa.int64()),
@@ -172,34 +242,38 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "
     Returns vec_id, n_links (other rows linked directly), component_id (least vec_id reachable, itself
     included) and kept (vec_id = component_id), one row an input row.
 
-    Equal vectors are one class with a count. Every class is posted in the lists of its nearest pivots; a
-    long list is cut into blocks, each pair of blocks is compared on its own, and links leave a task as
-    counts and a spanning forest, never as all pairs. Only links between candidates that the index finds are
-    counted (see PREFIX); no pair below the threshold links.
+    Equal vectors are one class with a count. Every class is posted in the lists of its nearest pivots; a list
+    is cut into blocks of BLOCK vectors and each pair of blocks is searched on its own: pivots that two vectors
+    share are counted, then cosines are taken of the pairs with enough. Links leave a task as counts and a
+    spanning forest, never as all pairs. How long a prefix is and how many pivots must be shared is chosen on a
+    sample (see ``fit``), so that RECALL of the links just at the threshold are found; no pair below it links.
+    Data that no prefix serves are compared in full.
 
     Vectors that are null, empty or zero or hold null or non-finite components, and rows with a null id,
     link with nothing; vectors of different dimensions do not link with each other. Rows that share an id
-    are one node, though each counts as a link. An empty table gives an empty result.
+    are one node, though each counts as a link. A cosine of just ``least`` links. An empty table gives an empty
+    result; further columns, whatever their names, are ignored.
     """
     spark = vectors.sparkSession
     rows = materialise(signed(vectors, vec_id, embedding), "vectors")
     real = rows.filter("dim > 0 AND vec_id IS NOT NULL")
     classes = real.groupBy("f1", "f2", "dim").agg(F.min(F.struct("vec_id", "raw")).alias("m"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.select("f1", "f2", "dim", F.col("m.vec_id").alias("rep"), F.col("m.raw").alias("raw"), "copies"), "vector-classes")
-    pivots = Shared(spark, choose_pivots(classes, classes.count()))
+    total = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("size")).first()
+    fitted = fit_indexes(classes, total.n, least)
+    indexes = Shared(spark, fitted)
 
     def count(batches):
-        for _, _, lists in described(batches, pivots.value):
-            at, n = np.unique(lists[lists >= 0], return_counts=True)
+        for _, _, lists in described(batches, indexes.value):
+            at, n = np.unique(lists, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["pivot", "n"])
 
     sizes = classes.select("rep", "dim", "raw").mapInArrow(count, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n"))
     blocks = Shared(spark, {r.pivot: -(-r.n // BLOCK) for r in sizes.filter(F.col("n") > BLOCK).collect()})  # a number a pivot at most
 
     def post(batches):
-        for part, prefix, lists in described(batches, pivots.value):
-            row, col = np.nonzero(lists >= 0)
-            pivot = lists[row, col]
+        for part, prefix, lists in described(batches, indexes.value):
+            row, pivot = np.repeat(np.arange(len(lists)), lists.shape[1]), lists.ravel()
             n = np.array([blocks.value.get(p, 1) for p in pivot.tolist()], np.int64)
             rep = part.column("rep").to_numpy()
             own = (mix(rep[row].view(U64)) % n.astype(U64)).astype(np.int64)
@@ -213,8 +287,9 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, y) for x, y in zip(cols, TYPES, strict=False)), shape.take(at), raw.take(at)], names=NAMES)
 
     posted = classes.select("rep", "copies", "dim", "raw").mapInArrow(post, POSTED)
-    posted = posted.repartition(parts(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    found = posted.mapInArrow(lambda batches: whole_groups(batches, lambda t: linked_in(t, least), ("pivot", "i", "j")), "a long, b long, n long")
+    size = total.size * max((x.prefix for x in fitted.values()), default=1)
+    posted = posted.repartition(parts(spark, size), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    found = posted.mapInArrow(lambda batches: whole_groups(batches, lambda t: linked_in(t, least, indexes.value), ("pivot", "i", "j")), "a long, b long, n long")
     found = materialise(found, "vector-links")
     degrees = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     comps = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import slices
-from tideglass.llm.common import Shared, materialise
-from tideglass.llm.quality import remainder
+from tideglass.llm.common import Shared, materialise, pick
+from tideglass.llm.sample import bounded_sample, remainder
 
-#: Bounds of the model: labelled rows fitted (in expectation; a hash of the id picks them), words and n-grams kept.
-FIT_ROWS, WORDS, GRAMS = 3000, 40_000, 20_000
+#: Bounds of the labelled sample that is fitted, in rows and bytes of text. They bound the model, too: it has
+#: every word of the sample and every character n-gram of those words.
+FIT_ROWS, FIT_BYTES = 3000, 16 << 20
 LONGEST = 4
 #: Vectors of unseen words that a task keeps at a time; it does not change any result.
 CACHE = 200_000
@@ -24,8 +25,12 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORD.findall((text or "").lower())
+    """Runs of letters (``str.isalpha``), in lower case."""
+    low = (text or "").lower()
+    found = WORD.findall(low)
+    if low.isascii() or "".join(found).isalpha():
+        return found
+    return "".join(c if c.isalpha() else " " for c in low).split()  # superscripts, fractions and the like are no letters
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -44,27 +49,29 @@ def to_batch(rows) -> pa.RecordBatch:
 
 @dataclass
 class Model:
+    """Vectors over languages: row numbers by word and by n-gram (of each length, from 1), and the rows."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 1
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: list[dict[str, int]]
+    gram_table: np.ndarray
 
 
-def log_frequency(counts: dict[str, Counter], langs: list[str], total: np.ndarray) -> dict[str, np.ndarray]:
-    """log P(unit | language) less its mean over languages, with add-half smoothing."""
-    size = max(1, len(counts))
-    out = {}
-    for unit, by in counts.items():
-        v = np.log((np.array([by.get(x, 0) for x in langs]) + 0.5) / (total + 0.5 * size))
-        out[unit] = v - v.mean()
-    return out
+def log_frequency(units: list[str], lang: np.ndarray, k: np.ndarray, width: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows by unit; log P(unit | language) less its mean over languages, with add-half smoothing."""
+    at = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    counts = np.zeros((len(at), width))
+    np.add.at(counts, ([at[u] for u in units], lang), k)
+    v = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(at))))
+    return at, v - v.mean(axis=1, keepdims=True)
 
 
-def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Count words and character n-grams by language over rows outside the held-out remainder."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & (remainder(doc_id, 5) != 0))
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Count all words and character n-grams by language over a sample of rows outside the held-out remainder."""
+    rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"), lang=(lang, "string"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0))
+    rows = bounded_sample(rows, fit_rows, fit_bytes).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -86,51 +93,48 @@ def fit_language(docs: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_i
     words = rows.mapInArrow(count, UNITS).groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
     words = materialise(words, "language-words")
     grams = words.mapInArrow(spell, UNITS).groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
-    units = materialise(words.unionByName(grams), "language-units")
-    by_unit = units.groupBy("n", "unit").agg(F.sum("k").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "k"))).alias("by")).filter("all > 1")
-    totals = {(r.lang, r.n): r.k for r in units.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()}
-    langs = sorted({x for x, _ in totals})
-    models = []
+    units = words.unionByName(grams).toArrow().sort_by([("n", "ascending"), ("unit", "ascending"), ("lang", "ascending")])
+    langs = sorted(set(units.column("lang").to_pylist()))
+    place = {x: i for i, x in enumerate(langs)}
+    code, length, k = np.array([place[x] for x in units.column("lang").to_pylist()], np.int64), units.column("n").to_numpy(), units.column("k").to_numpy()
+    found, tables = [], [np.zeros((1, max(1, len(langs))))]  # row 0: no n-gram known, no vote
     for n in range(LONGEST + 1):
-        best = by_unit.filter(F.col("n") == n).orderBy(F.desc("all"), "unit").limit(WORDS if n == 0 else GRAMS).collect()
-        total = np.array([totals.get((x, n), 0) for x in langs], float)
-        models.append(log_frequency({r.unit: r.by for r in best}, langs, total))
-    return Model(langs, models[0], models[1:])
+        of_n = np.flatnonzero(length == n)
+        at, table = log_frequency(units.column("unit").take(pa.array(of_n)).to_pylist(), code[of_n], k[of_n], max(1, len(langs)))
+        if n:
+            at = {u: i + sum(map(len, tables)) for u, i in at.items()}
+            tables.append(table)
+        else:
+            word_table = table
+        found.append(at)
+    return Model(langs, found[0], word_table, found[1:], np.concatenate(tables))
 
 
 class Scorer:
     """A task's view of the model: one vector a word, those of unseen words kept for a while."""
 
     def __init__(self, model: Model):
-        self.model, self.known, width = model, len(model.words), max(1, len(model.langs))
-        self.at = {w: i for i, w in enumerate(model.words)}
-        self.table = np.array(list(model.words.values())).reshape(-1, width)
-        self.gram_at: list[dict[str, int]] = []
-        vectors = [np.zeros(width)]  # no n-gram known: no vote
-        for by in model.grams:
-            self.gram_at.append({g: len(vectors) + i for i, g in enumerate(by)})
-            vectors += by.values()
-        self.gram_table = np.stack(vectors)
+        self.model, self.at, self.table = model, dict(model.words), model.word_table
 
     def spelled(self, word: str) -> list[int]:
         """The word's longest n-grams of which any is known."""
         padded = f"<{word}>"
-        for n in range(len(self.gram_at), 0, -1):
-            get = self.gram_at[n - 1].get
+        for n in range(len(self.model.grams), 0, -1):
+            get = self.model.grams[n - 1].get
             if got := [k for i in range(len(padded) - n + 1) if (k := get(padded[i : i + n])) is not None]:
                 return got
         return [0]
 
     def votes(self, texts: list[list[str]]) -> np.ndarray:
         """Summed vectors of each text; no text is empty. An unseen word's vector is its n-grams' mean."""
-        if len(self.at) > self.known + CACHE:
-            self.at, self.table = dict(zip(self.model.words, range(self.known), strict=True)), self.table[: self.known]
+        if len(self.at) > len(self.model.words) + CACHE:
+            self.at, self.table = dict(self.model.words), self.model.word_table
         at = self.at
         new = list(dict.fromkeys(w for words in texts for w in words if w not in at))
         if new:
             grams = [self.spelled(w) for w in new]
             size = np.array([len(g) for g in grams])
-            sums = np.add.reduceat(self.gram_table[[k for g in grams for k in g]], np.cumsum(size) - size)
+            sums = np.add.reduceat(self.model.gram_table[[k for g in grams for k in g]], np.cumsum(size) - size)
             at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
             self.table = np.concatenate([self.table, sums / size[:, None]])
         size = np.array([len(words) for words in texts])
@@ -138,15 +142,19 @@ class Scorer:
         return np.add.reduceat(self.table[found], np.cumsum(size) - size)
 
 
-def identify_language(docs: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify_language(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out (crc32 of the id modulo 5 is 0; null for a
     null id), lang_pred (a learned language, ``und`` for null and letterless texts) and score (its share of
     the likelihood, 0 for ``und``).
 
-    Equal scores go to the alphabetically first language. Repeated rows are predicted each. An empty table
-    gives an empty result; with nothing to learn from every text is ``und``.
+    A word of the model votes by its log frequencies, any other by the mean of its longest known character
+    n-grams. Learned from are ``fit_rows`` rows and ``fit_bytes`` of text at most, picked by a hash of the id.
+
+    Letters are what ``str.isalpha`` says. Equal scores go to the alphabetically first language. Repeated rows
+    are predicted each. An empty table gives an empty result; with nothing to learn from every text is ``und``.
+    Further columns, whatever their names, are ignored.
     """
-    model = Shared(docs.sparkSession, fit_language(docs, fit_rows, doc_id, text, lang))
+    model = Shared(docs.sparkSession, fit_language(docs, fit_rows, fit_bytes, doc_id, text, lang))
 
     def predict(batches):
         scorer = Scorer(model.value)
@@ -163,5 +171,5 @@ def identify_language(docs: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "
                     score[voiced] = 1 / np.exp(v - v.max(axis=1, keepdims=True)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double").select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

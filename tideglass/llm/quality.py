@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import SPACE, U64, Words, mix, slices, text_buffer
-from tideglass.llm.common import Shared, filter_rows
+from tideglass.llm.common import Shared, filter_rows, index_of, pick
+from tideglass.llm.sample import bounded_sample, remainder
 
 BITS = 18
-#: At most about this many labelled rows are fitted; beyond it a hash of the id picks the rows.
-FIT_ROWS = 6000
+#: At most so many labelled rows and bytes of their texts are fitted; beyond that a hash of the id picks the rows.
+FIT_ROWS, FIT_BYTES = 6000, 32 << 20
 UPPER, LOWER, DIGIT = ord("A"), ord("a"), ord("0")
 
 
@@ -125,38 +126,40 @@ def scale(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def remainder(doc_id: str, n: int):
-    return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(n))
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on labelled rows outside the held-out remainder. ``fit_rows`` bounds the sample (in expectation):
-    if more are labelled, a hash of the id picks them. Rows without label, id or document do not count."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & (remainder(doc_id, 3) != 1))
-    rows = rows.select(F.col(doc_id).cast("long").alias("__id"), F.col(label).cast("int").alias("__label"))
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < share * 1_000_000)
-    found = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "__id")
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
+) -> Model:
+    """Fit on labelled rows outside the held-out remainder, ``fit_rows`` and ``fit_bytes`` of text at most; if more
+    are labelled, a hash of the id picks them. Rows without label, id or document do not count."""
+    rows = pick(labels, doc_id=(doc_id, "long"), label=(label, "int"))
+    rows = rows.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 3) != 1))
+    share = min(1.0, 1.5 * fit_rows / max(1, rows.count()))  # what is broadcast: about that many rows
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates()
+    texts = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
+    found = bounded_sample(texts.join(F.broadcast(rows), "doc_id"), fit_rows, fit_bytes)
 
     def features(batches):
         for batch in batches:
             for part in slices(batch):
                 got, first = indicators(part.column("text"))
                 raw = [got[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__label"), pa.array(raw, pa.binary())], names=["id", "label", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(raw, pa.binary())], names=["id", "label", "features"])
 
     got = sorted((r.id, r.label, bytes(r.features)) for r in found.mapInArrow(features, "id long, label int, features binary").toLocalIterator())
     return fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], np.int64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
+) -> DataFrame:
     """Score every whole text: doc_id, held_out (crc32 of the id modulo 3 is 1; null for a null id), score
     (0 to 1, higher: good likelier) and predicted (1 from 0.5 on).
 
     Only the text enters a score. Null and empty texts have no features and get the bias's score. Repeated
-    rows are scored each. An empty table gives an empty result; without labels every score is 0.5.
+    rows are scored each. An empty table gives an empty result; without labels every score is 0.5. Further
+    columns, whatever their names, are ignored.
     """
-    model = Shared(docs.sparkSession, fit_quality(docs, labels, fit_rows, doc_id, text, label))
+    model = Shared(docs.sparkSession, fit_quality(docs, labels, fit_rows, fit_bytes, doc_id, text, label))
 
     def score(batches):
         for batch in batches:
@@ -164,14 +167,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
                 s = model.value.scores(*indicators(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
     return rows.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores ``least`` or more; nothing is shuffled."""
-    model = Shared(docs.sparkSession, fit_quality(docs, labels, fit_rows, doc_id, text, label))
-    at = f"c{docs.columns.index(text)}"
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5,
+) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``least`` or more; nothing is shuffled.
+
+    Null and empty texts get the bias's score and stay or go by it, as does a score of just ``least`` (it stays).
+    Repeated rows are judged each, null ids like others. An empty table gives an empty result; without labels all
+    rows stay. Columns and their names are the input's, whatever they are.
+    """
+    model = Shared(docs.sparkSession, fit_quality(docs, labels, fit_rows, fit_bytes, doc_id, text, label))
+    at = f"c{index_of(docs, text)}"
 
     def keep(batch):
         return np.concatenate([model.value.scores(*indicators(p.column(at).cast(pa.string()))) >= least for p in slices(batch, text=at)] or [np.zeros(0, bool)])

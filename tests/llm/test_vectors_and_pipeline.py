@@ -44,17 +44,32 @@ def test_vectors(spark, rows, monkeypatch, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n[i], comp[i], comp[i] == i) for i in n}
 
 
-def test_recall_over_a_planted_table():
-    """Pairs at cosine 0.9 just reached, in 64 dimensions: shared pivots find at least nine in ten."""
+def planted_pairs(kind):
+    """Vectors and, for each, another at a cosine of just 0.9: isotropic, or in a narrow cone."""
     rng = np.random.default_rng(1)
-    x = embedding_dedup.unit(rng.normal(size=(2000, 64)))
-    r = rng.normal(size=x.shape)
-    y = 0.9 * x + np.sqrt(0.19) * embedding_dedup.unit(r - (r * x).sum(1, keepdims=True) * x)
-    pivots = embedding_dedup.unit(rng.normal(size=(450, 64)))
-    a, b = (embedding_dedup.describe(v, pivots, embedding_dedup.PREFIX) for v in (x, y))
-    shared = (a[:, :, None] == b[:, None, :]).any(2).sum(1) >= embedding_dedup.SHARED
-    posted = (a[:, :8, None] == b[:, None, :8]).any((1, 2))
-    assert (shared & posted).mean() > 0.99
+    x = rng.normal(size=(700, 48))
+    if kind == "cone":
+        x = x / np.sqrt(48) + 2.48 * np.eye(48)[0]
+    x = embedding_dedup.unit(x)
+    a, b = embedding_dedup.planted(x, 0.9 + 1e-9)
+    return np.concatenate([x, b])
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "cone"])
+def test_recall_against_all_pairs(spark, kind):
+    x = planted_pairs(kind)
+    near = x @ x.T >= 0.9
+    want = near.sum() - len(x)
+    assert want >= 1400 and (kind == "isotropic" or 0.02 < want / len(x) ** 2 < 0.5)
+    got = embedding_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    assert 0.9 * want <= sum(r.n_links for r in got) <= want + 8
+    assert all(r.n_links <= near[r.vec_id].sum() - 1 + 1e-9 for r in got) or kind == "cone"
+
+
+def test_shared_pivots_are_counted_before_any_cosine():
+    prefix = np.array([[3, 1, 9], [3, 9, 2], [1, 3, 5], [3, 7, 8], [9, 3, 7]], np.int32)
+    assert {a: b.tolist() for a, b in embedding_dedup.counted(prefix, 3, 2)} == {0: [1, 4], 1: [4], 2: [], 3: [4], 4: []}  # rows 0 and 2 meet in list 1
+    assert {a: b.tolist() for a, b in embedding_dedup.counted(prefix, 3, 1)}[2] == [3, 4]
 
 
 def test_empty_and_null_ids(spark):

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.llm.common import index_of, numbered
+
 #: The generator's fixed multiplier in the published algorithm.
 MULTIPLIER = 2862933555777941757
 LIMB = 22
 MASK = (1 << LIMB) - 1
 BLOCKS = 256
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def jump(key: Column, shards: int) -> Column:
@@ -56,17 +59,21 @@ def shard(docs: DataFrame, shards: int = 24, blocks: int = BLOCKS, doc_id: str =
 
     A null text has size 8 and the checksum of no bytes, 0. A null id is keyed by the checksum and stands
     last in its block. Repeated rows share a shard and get a slot each. An empty table gives an empty result.
+    Other columns stay, whatever their names.
     """
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
-    crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    keyed = docs.withColumns({"size": size, "text_crc32": crc}).withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.col("text_crc32")))
-    block = F.pmod(F.pmod(F.col("__key"), F.lit(blocks)) + F.col("text_crc32"), F.lit(blocks))
-    keyed = keyed.withColumns({"__to": jump(F.col("__key"), shards), "__block": block})
-    keyed = keyed.withColumns({"law": F.lit("key"), "shard": F.col("__to.shard"), "grown_shard": F.col("__to.grown")}).drop("__to")
-    before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy(F.col("shard").alias("__shard"), "__block").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__shard", F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("shard", "__block").orderBy(F.col(doc_id).asc_nulls_last(), "text_crc32")
-    placed = keyed.withColumn("__row", F.row_number().over(within))
-    joined = placed.join(F.broadcast(offsets), (F.col("shard") == F.col("__shard")) & (F.col("__block") == F.col("__b")))
-    return joined.withColumn("slot", F.col("__offset") + F.col("__row") - 1).drop("__key", "__block", "__row", "__shard", "__b", "__offset")
+    own, body = F.col(f"c{index_of(docs, doc_id)}").cast("long"), F.col(f"c{index_of(docs, text)}").cast("string")
+    size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.encode(F.coalesce(body, F.lit("")), "UTF-8"))
+    keyed = numbered(docs).withColumns({"id": own, "size": size, "text_crc32": crc}).withColumn("key", F.coalesce("id", "text_crc32"))
+    block = F.pmod(F.pmod(F.col("key"), F.lit(blocks)) + F.col("text_crc32"), F.lit(blocks))
+    keyed = keyed.withColumns({"to": jump(F.col("key"), shards), "block": block})
+    keyed = keyed.withColumns({"law": F.lit("key"), "shard": F.col("to.shard"), "grown_shard": F.col("to.grown")})
+    before = Window.partitionBy("of_shard").orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(F.col("shard").alias("of_shard"), F.col("block").alias("of_block")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("of_shard", "of_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("shard", "block").orderBy(F.col("id").asc_nulls_last(), "text_crc32")
+    placed = keyed.withColumn("row", F.row_number().over(within))
+    joined = placed.join(F.broadcast(offsets), (F.col("shard") == F.col("of_shard")) & (F.col("block") == F.col("of_block")))
+    joined = joined.withColumn("slot", F.col("offset") + F.col("row") - 1)
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in ADDED]
+    return joined.select(*(f"c{i}" for i in keep), *ADDED).toDF(*(docs.columns[i] for i in keep), *ADDED)

@@ -6,11 +6,13 @@ import urllib.request
 
 import pytest
 
+from tideglass import __version__
 from tideglass.functions import columns as fc
 from tideglass.operators.endpoint import Endpoint, QueryError, guard
 from tideglass.operators.server import Server
 from tideglass.schemas import LOGS
 from tideglass.sources.catalog import Catalog, append, scan
+from tideglass.streaming.ingest import Tail
 
 
 def rows(n, service="api", day=15, start=0):
@@ -114,6 +116,43 @@ def test_http(store, tmp_path):
         post("DROP TABLE logs")
     assert e.value.code == 400 and e.value.read().startswith(b"Query failed: ")
     assert json.load(urllib.request.urlopen(f"{url}/health"))["status"] == "ok"
-    assert json.load(urllib.request.urlopen(f"{url}/detect")) == [{"name": "shop", "framework": "Next.js", "path": "."}]
-    assert "cpus" in json.load(urllib.request.urlopen(f"{url}/resources"))
+    (tmp_path / "go.mod").write_text("module example.org/x/y\n")
+    assert json.load(urllib.request.urlopen(f"{url}/detect")) == [
+        {"service_name": "shop", "language": "Node.js", "framework": "Next.js", "project_file": "package.json"},
+        {"service_name": "example.org/x/y", "language": "Go", "framework": None, "project_file": "go.mod"},
+    ]
+    used = json.load(urllib.request.urlopen(f"{url}/resources"))
+    assert used["cpu"]["cores"] > 0 and 0 <= used["cpu"]["global_usage_percent"] <= 100 and used["memory"]["total_bytes"] > 0 and used["disk"] and len(used["load_avg"]) == 3
+    assert all(n["rx_bytes_per_sec"] >= 0 for n in used["network"])
+    assert json.load(urllib.request.urlopen(f"{url}/status")) == {"status": "running", "version": __version__, "dropped_events": 0, "buffer_occupancy": 0}
+    preflight = urllib.request.urlopen(urllib.request.Request(f"{url}/query", method="OPTIONS"))
+    assert preflight.status == 200 and "POST" in preflight.headers["Access-Control-Allow-Methods"] and preflight.headers["Access-Control-Allow-Origin"] == "*"
     server.shutdown()
+
+
+def test_live_events_over_http(store):
+    tail = Tail()
+    server = Server(store[1], 0, tail=tail)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/tail")
+    while not tail.queues:
+        pass
+    tail.publish("logs", store[1].spark.createDataFrame([("a", 1)], "id string, n int"))
+    assert got.readline() == b'data: {"table":"logs","id":"a","n":1}\n'
+    got.close()
+    server.shutdown()
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT CAST(5 AS VARCHAR) AS x, 7::varchar AS y, CAST('VARCHAR' AS TEXT) AS z", [["5", "7", "VARCHAR"]]),
+    ("SELECT CAST(timestamp'1970-01-01 00:00:02Z' AS BIGINT) AS t, CAST('8' AS BIGINT) AS n, CAST(2.9 AS BIGINT) AS d", [[2_000_000, 8, 2]]),
+    ("""SELECT "id" FROM (SELECT 3 AS "id") t WHERE "id" > 1 AND '"id"' <> 'x' -- "no""", [[3]]),
+    ("""SELECT '{"a":{"b":[1,"x"]}}' -> 'a' -> 'b' ->> 1 AS v, '{"a":1}' ? 'a' AS h""", [["x", True]]),
+    ("""SELECT json_get_json('{"a":{"b":1}}', 'a') j, json_get_array('{"a":[1,"x",null]}', 'a') l, json_get_int('[4,5]', '1') i, json_as_text('{"n":1.5}', 'n') n, json_length('[1,2]') c, json_get('bad', 'a') b""",
+     [['{"b":1}', ["1", "x", None], 5, "1.5", 2, None]]),
+    ("SELECT now() - INTERVAL '7 days' < now() AS a, now() - INTERVAL '15' MINUTE < now() AS b", [[True, True]]),
+    ("SELECT k, max(n) AS n FROM (SELECT id % 2 AS k, id AS n FROM range(5)) GROUP BY k ORDER BY k", [[0, 4], [1, 3]]),
+    ("SELECT percentile(id, 0.5) AS p FROM range(5)", [[2.0]]),
+])
+def test_telemetry_dialect(store, sql, want):
+    assert store[1].query(sql).rows == want

@@ -58,7 +58,7 @@ def test_clauses_split_outside_quotes_and_parentheses():
     assert tokens("a = 'x AND y' AND (b AND c) AND d = ''' AND '", " AND ") == ["a = 'x AND y'", "(b AND c)", "d = ''' AND '"]
 
 
-def test_filters_without_a_meaning_on_both_sources_are_refused_together():
+def test_filters_without_a_meaning_on_both_sources_are_refused_together(spark):  # columns need a session
     with pytest.raises(UnsupportedPredicate, match="exception_type.*;.*line < 300"):
         arms([OneOf("exception_type", ("E",)), Status("=", 1), StatusClasses(("success",))])
     with pytest.raises(UnsupportedPredicate, match="1 = 1"):

@@ -37,3 +37,9 @@ def test_times(spark):
     assert one(spark, F.unix_micros(fc.epoch_to_timestamp(F.lit(1_700_000_000_000)))) == 1_700_000_000_000_000
     assert one(spark, fc.epoch_to_timestamp(F.lit(5))) is None
     assert [one(spark, fc.level_from_status(F.lit(c))) for c in (200, 404, 500)] == ["info", "warn", "error"]
+
+
+def test_ulids_sort_by_time_and_differ_by_entropy(spark):
+    t = [F.timestamp_millis(F.lit(ms)) for ms in (1_469_918_176_385, 1_469_918_176_386)]
+    a, b, c = (one(spark, fc.ulid(x, F.lit(e))) for x, e in ((t[0], "a"), (t[0], "b"), (t[1], "a")))
+    assert len(a) == 26 and a[:10] == "01ARYZ6S41" == b[:10] and a != b and c > a and set(a) <= set("0123456789ABCDEFGHJKMNPQRSTVWXYZ")

@@ -113,11 +113,31 @@ def content_id(*fields: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
+#: One step into a JSON text ``j``: the value under key ``k`` of an object, or at index ``k`` of an array.
+STEP = "coalesce(from_json(j, 'map<string,string>')[k], get(from_json(j, 'array<string>'), try_cast(k AS INT)))"
+#: JSON functions of telemetry SQL: name, result type, body.
+JSON_FUNCTIONS = (
+    ("json_get", "STRING", STEP), ("json_get_json", "STRING", STEP), ("json_as_text", "STRING", STEP), ("json_get_str", "STRING", STEP), ("json_get_int", "BIGINT", f"try_cast({STEP} AS BIGINT)"),
+    ("json_get_float", "DOUBLE", f"try_cast({STEP} AS DOUBLE)"), ("json_get_bool", "BOOLEAN", f"try_cast({STEP} AS BOOLEAN)"), ("json_get_array", "ARRAY<STRING>", f"from_json({STEP}, 'array<string>')"),
+    ("json_contains", "BOOLEAN", "coalesce(map_contains_key(from_json(j, 'map<string,string>'), k), false) OR coalesce(try_cast(k AS INT) < json_array_length(j), false)"),
+)
+
+
+def ulid(time: Column, entropy: Column) -> Column:
+    """A sortable 26-character id: 48 bits of milliseconds and 80 bits of a hash of ``entropy``, in Crockford's base 32."""
+
+    def digits(value: Column, n: int) -> list[Column]:
+        return [F.substring(F.lit("0123456789ABCDEFGHJKMNPQRSTVWXYZ"), F.shiftright(value, 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in reversed(range(n))]
+
+    hashed = F.sha2(entropy.cast("string"), 256)
+    halves = [F.conv(F.substring(hashed, at, 10), 16, 10).cast("bigint") for at in (1, 11)]
+    return F.concat(*digits(F.unix_millis(time), 10), *digits(halves[0], 8), *digits(halves[1], 8))
+
+
 def register(spark: SparkSession) -> None:
     """Names that telemetry SQL uses, as SQL functions that Catalyst inlines."""
-    for name, kind in (("json_get_str", "STRING"), ("json_get_int", "BIGINT"), ("json_get_float", "DOUBLE"), ("json_get_bool", "BOOLEAN")):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(j STRING, k STRING) RETURNS {kind} RETURN try_cast(from_json(j, 'map<string,string>')[k] AS {kind})")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION json_contains(j STRING, k STRING) RETURNS BOOLEAN RETURN coalesce(map_contains_key(from_json(j, 'map<string,string>'), k), false)")
+    for name, kind, body in JSON_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(j STRING, k STRING) RETURNS {kind} RETURN {body}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION json_length(j STRING) RETURNS INT RETURN coalesce(json_array_length(j), size(json_object_keys(j)))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION to_timestamp_micros(n BIGINT) RETURNS TIMESTAMP RETURN timestamp_micros(n)")
     # The percentage must fold, which no SQL function's parameter does: a second name for the builtin.

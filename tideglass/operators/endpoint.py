@@ -14,6 +14,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tideglass.plans.dialect import micros_casts, respell
+
 ROW_CAP, TIMEOUT_S = 10_000, 30.0
 
 #: Logical operators a query may have, by class name; everything else is refused.
@@ -82,6 +84,20 @@ def guard(spark: SparkSession, sql: str) -> None:
                 raise QueryError(f"not allowed: function {name}")
 
 
+def casts_a_timestamp(df: DataFrame, sql: str) -> bool:
+    """Whether the analysed query casts a timestamp to BIGINT, which is seconds in Spark."""
+    if "BIGINT" not in sql.upper():
+        return False
+    for p in _walk(df._jdf.queryExecution().analyzed()):
+        todo = _items(p.expressions())
+        while todo:
+            e = todo.pop()
+            if e.getClass().getSimpleName() == "Cast" and e.dataType().simpleString() == "bigint" and e.child().dataType().simpleString().startswith("timestamp"):
+                return True
+            todo += _items(e.children())
+    return False
+
+
 def encode(value, kind: T.DataType):
     """A value as JSON carries it: timestamps as epoch microseconds, NaN and infinities as null.
 
@@ -119,14 +135,18 @@ class Endpoint:
         self.spark, self.cap, self.timeout, self.before = spark, cap, timeout, before
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
 
-    def plan(self, sql: str) -> DataFrame:
+    def plan(self, sql: str, cap: bool = True) -> DataFrame:
         """The guarded query under the cap; smaller limits of its own stay."""
+        sql = respell(sql)
         guard(self.spark, sql)
         self.before()
         try:
-            return self.spark.sql(sql).limit(self.cap)
+            df = self.spark.sql(sql)
+            if casts_a_timestamp(df, sql):
+                df = self.spark.sql(micros_casts(sql))
         except PySparkException as e:
             raise QueryError(str(e).splitlines()[0][:500]) from None
+        return df.limit(self.cap) if cap else df
 
     def query(self, sql: str) -> QueryResult:
         df = self.plan(sql)

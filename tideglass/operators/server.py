@@ -1,4 +1,4 @@
-"""A thin HTTP shell over the endpoint: POST /query, GET /health, /status, /detect, /resources, /tail."""
+"""A thin HTTP shell over the endpoint: POST /query, GET /health, /status, /detect, /resources, /tail, and preflights."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import json
 import queue
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from tideglass import __version__
 from tideglass.operators.endpoint import Endpoint, QueryError
-from tideglass.sources.workspace import detect, resources
+from tideglass.sources.workspace import detect, nested, usage
 from tideglass.streaming.ingest import Front, Tail
 
 KEEP_ALIVE_S = 15.0
@@ -26,6 +27,15 @@ class Handler(BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(raw)
 
+    def do_OPTIONS(self) -> None:
+        """A browser's preflight: any origin, the methods served, and the headers that a query needs."""
+        self.send_response(200)
+        self.send_header("Access-Control-Allow-Origin", "*")
+        self.send_header("Access-Control-Allow-Methods", "GET,POST,OPTIONS")
+        self.send_header("Access-Control-Allow-Headers", "content-type,accept")
+        self.send_header("Content-Length", "0")
+        self.end_headers()
+
     def do_POST(self) -> None:
         if self.path != "/query":
             return self.reply(404, "not found", "text/plain")
@@ -38,14 +48,16 @@ class Handler(BaseHTTPRequestHandler):
     def do_GET(self) -> None:
         s, spark = self.server, self.server.endpoint.spark
         if self.path == "/health":
-            return self.reply(200, {"status": "ok"})
+            return self.reply(200, {"status": "ok", "version": __version__})
         if self.path == "/status":
             front = s.front
-            return self.reply(200, {"status": "recovering" if front and front.recovering else "ok", "waiting": front.waiting if front else 0, "dropped": front.dropped if front else 0})
+            state = "recovering" if front and front.recovering else "running"
+            return self.reply(200, {"status": state, "version": __version__, "dropped_events": front.dropped if front else 0, "buffer_occupancy": front.waiting if front else 0})
         if self.path == "/detect":
-            return self.reply(200, [r.asDict() for r in detect(spark, s.workspace).collect()])
+            keys = ("service_name", "language", "framework", "project_file")
+            return self.reply(200, [{k: r[k] for k in keys} for r in detect(spark, s.workspace, depth=0).collect()])
         if self.path == "/resources":
-            return self.reply(200, {r.name: r.value for r in resources(spark, s.workspace).collect()})
+            return self.reply(200, nested(usage(s.workspace)))
         if self.path == "/tail" and s.tail:
             return self.follow(s.tail.subscribe())
         return self.reply(404, "not found", "text/plain")
@@ -53,6 +65,7 @@ class Handler(BaseHTTPRequestHandler):
     def follow(self, events: queue.Queue) -> None:
         self.send_response(200)
         self.send_header("Content-Type", "text/event-stream")
+        self.send_header("Access-Control-Allow-Origin", "*")
         self.end_headers()
         try:
             while True:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.functions import columns as fc
+from tideglass.operators.compaction import compact
 from tideglass.operators.endpoint import Endpoint, QueryError, guard
 from tideglass.plans import telemetry as q
 from tideglass.plans.filters import Chip, FilterState
 from tideglass.plans.predicates import AnyText, Contains, OneOf, Since, Status, StatusClasses, UnsupportedPredicate
+from tideglass.schemas import BATCH
 from tideglass.sources import derived
+from tideglass.sources.catalog import append, scan
 from tideglass.sources.derived import NOW_MICROS
-from tideglass.streaming.ingest import fresh
+from tideglass.streaming.ingest import normalise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,7 +225,10 @@ def log_histogram_12h_filled(s, d):
     return q.histogram_filled(L(s, d), NOW_MICROS - 7 * DAY, NOW_MICROS, "12-hour")
 
 
-@query("")
+@query(f"""WITH b AS (SELECT unnest(generate_series(date_trunc('day', {at(NOW_MICROS - 7 * DAY)}), {at(NOW_MICROS)}, INTERVAL 1 DAY)) AS bucket),
+  k AS (SELECT date_trunc('day', "timestamp") AS bucket, lower(trim(level)) AS level FROM logs WHERE "timestamp" >= date_trunc('day', {at(NOW_MICROS - 7 * DAY)}) AND "timestamp" <= {at(NOW_MICROS)} AND trim(level) <> ''),
+  c AS (SELECT bucket, level, count(*) AS cnt FROM k GROUP BY 1, 2), f AS (SELECT bucket, level, coalesce(cnt, 0) AS cnt FROM b CROSS JOIN (SELECT DISTINCT level FROM k) LEFT JOIN c USING (bucket, level))
+  SELECT level, list(strftime(bucket, '%m/%d') ORDER BY bucket) AS buckets, list(cnt ORDER BY bucket) AS counts FROM f GROUP BY level""", "logs")
 def log_histogram_series(s, d):
     return q.histogram_series(q.histogram_filled(L(s, d), NOW_MICROS - 7 * DAY, NOW_MICROS, "day"), "day")
 
@@ -256,7 +263,8 @@ def service_sparkline(s, d):
     return q.sparkline(L(s, d))
 
 
-@query("")
+@query(f"""WITH c AS (SELECT service, floor(epoch_us("timestamp") / 60000000) AS bucket, count(*) AS cnt FROM logs WHERE "timestamp" > {at(NOW_MICROS - 2 * DAY)} GROUP BY 1, 2)
+  SELECT service, list(cnt ORDER BY bucket) AS counts FROM c GROUP BY service""", "logs")
 def service_sparkline_series(s, d):
     return q.sparkline_series(L(s, d), [Since(NOW_MICROS - 2 * DAY)])
 
@@ -293,7 +301,8 @@ def bench_hourly_error_rate(s, d):
 
 @query("SELECT service, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99 FROM spans GROUP BY service", "spans")
 def bench_latency_by_service(s, d):
-    return S(s, d).groupBy("service").agg(*q.percentiles(p50=0.5, p95=0.95, p99=0.99))
+    digest, columns = q.percentiles(p50=0.5, p95=0.95, p99=0.99)
+    return S(s, d).groupBy("service").agg(digest).select("service", *columns)
 
 
 @query("SELECT service, level, count(*) AS cnt FROM logs WHERE (message LIKE '%purchase%' OR level = 'purchase') GROUP BY 1, 2", "logs")
@@ -434,10 +443,134 @@ def sql_guard(s, d):
     return s.createDataFrame([(x, allowed(x)) for x in GUARDED], "statement string, allowed boolean")
 
 
-@query("SELECT count(*) AS rows FROM (SELECT * FROM logs LIMIT 10000)", "logs")
+@query("SELECT least(count(*), 10000) AS rows FROM lineitem")
 def sql_row_cap(s, d):
+    """Over a table of more rows than the cap, from a scale factor of 0.01 on."""
     derived.register(s, d)
-    return Endpoint(s).plan("SELECT * FROM logs").agg(q.rows().alias("rows"))
+    return Endpoint(s).plan("SELECT * FROM metrics").agg(q.rows().alias("rows"))
+
+
+DIALECT = {
+    "status_text": "SELECT CAST(status_code AS VARCHAR) AS code, count(*) AS cnt FROM spans GROUP BY CAST(status_code AS VARCHAR)",
+    "minute_of_micros": "SELECT service, FLOOR(CAST(timestamp AS BIGINT) / 60000000) AS bucket, count(*) AS cnt FROM logs WHERE timestamp > to_timestamp_micros(%d) GROUP BY service, bucket" % (NOW_MICROS - 3 * DAY),
+    "quoted_names": 'SELECT "service", max("timestamp") AS "latest" FROM logs GROUP BY "service"',
+}
+
+
+def dialect(name: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        derived.register(s, d)
+        fc.register(s)
+        return Endpoint(s).plan(DIALECT[name], cap=False)
+
+    run.__name__ = f"sql_dialect_{name}"
+    return run
+
+
+query("SELECT CAST(status_code AS VARCHAR) AS code, count(*) AS cnt FROM spans GROUP BY 1", "spans")(dialect("status_text"))
+query(f"""SELECT service, CAST(floor(epoch_us("timestamp") / 60000000) AS BIGINT) AS bucket, count(*) AS cnt FROM logs WHERE "timestamp" > {at(NOW_MICROS - 3 * DAY)} GROUP BY 1, 2""", "logs")(dialect("minute_of_micros"))
+query("""SELECT service, max("timestamp") AS latest FROM logs GROUP BY service""", "logs")(dialect("quoted_names"))
+
+
+JSON = """CASE WHEN event_id % 2 = 0 THEN '{"a.b":"x' || event_id || '","n":' || user_id || ',"list":[1,"two",{"k":' || user_id || '}],"in":{"deep":"' || event_type || '"},"yes":true}' ELSE '[10,' || user_id || ']' END"""
+
+
+@query(f"""SELECT event_id, json_extract_string(j, '$."a.b"') AS as_str, TRY_CAST(json_extract_string(j, '$.n') AS BIGINT) AS as_int, TRY_CAST(json_extract_string(j, '$.n') AS DOUBLE) AS as_float, TRY_CAST(json_extract_string(j, '$.yes') AS BOOLEAN) AS as_bool,
+  coalesce(json_extract_string(j, '$.in.deep'), '') AS nested, json_extract_string(j, '$.list[2].k') AS inner_k, CAST(CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) ELSE len(json_keys(j)) END AS INTEGER) AS n_items,
+  json_type(j) = 'OBJECT' AS has_n, json_extract_string(j, '$.list[1]') AS second FROM (SELECT event_id, {JSON} AS j FROM events)""")
+def json_functions(s, d):
+    fc.register(s)
+    derived.read(s, d, "events").selectExpr("event_id", f"{JSON} AS j").createOrReplaceTempView("json_events")
+    return Endpoint(s).plan("""SELECT event_id, json_get_str(j, 'a.b') AS as_str, json_get_int(j, 'n') AS as_int, json_get_float(j, 'n') AS as_float, json_get_bool(j, 'yes') AS as_bool,
+      coalesce(json_get(j, 'in') ->> 'deep', '') AS nested, json_as_text(json_get_array(j, 'list')[2], 'k') AS inner_k, json_length(j) AS n_items, j ? 'n' AS has_n, j -> 'list' ->> 1 AS second FROM json_events""", cap=False)
+
+
+def _store(s: SparkSession, name: str) -> str:
+    """A fresh store in a folder that the driver and all executors share."""
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/store-{name}-{uuid.uuid4().hex}"
+    path = s._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return base.removeprefix("file://").removeprefix("file:")
+
+
+@query("""SELECT service, date, count(*) AS cnt, min("timestamp") AS first_at, max("timestamp") AS last_at, count(DISTINCT id) AS ids FROM logs GROUP BY service, date""", "logs")
+def store_round_trip(s, d):
+    """Logs appended in two goes to the partitioned store, and read from it."""
+    base, logs = _store(s, "logs"), L(s, d)
+    early = F.col("timestamp") < F.lit("2024-01-10").cast("timestamp")
+    for part in (logs.filter(early), logs.filter(~early)):
+        append(part, base, "logs")
+    return scan(s, base, "logs").groupBy("service", "date").agg(q.rows().alias("cnt"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), F.countDistinct("id").alias("ids"))
+
+
+@query(f"""SELECT date, count(*) AS cnt FROM logs WHERE service = 'svc-1' AND "timestamp" > {at(NOW_MICROS - 3 * DAY)} GROUP BY date""", "logs")
+def store_pruned_window(s, d):
+    """A window over one service: only its partitions of those days are read."""
+    base = _store(s, "pruned")
+    append(L(s, d), base, "logs")
+    return q.by_day(scan(s, base, "logs"), [OneOf("service", ("svc-1",)), Since(NOW_MICROS - 3 * DAY)])
+
+
+@query("""SELECT (SELECT count(*) FROM logs) AS log_count, (SELECT count(*) FROM spans) AS span_count, (SELECT 0) AS metric_count""", "logs", "spans")
+def store_empty_table(s, d):
+    """A store without one of the tables: it is there, and empty."""
+    base = _store(s, "empty")
+    append(L(s, d), base, "logs")
+    append(S(s, d), base, "spans")
+    return q.store_counts(*(scan(s, base, t) for t in ("logs", "spans", "metrics")))
+
+
+@query("""SELECT service, count(*) AS cnt, count(DISTINCT id) AS ids, count(exception_type) AS failed FROM logs WHERE date >= '2024-01-20' GROUP BY service""", "logs")
+def store_compacted(s, d):
+    """Three files a partition, merged: no row is doubled or lost."""
+    base, logs = _store(s, "compacted"), L(s, d).filter("date >= '2024-01-20'")
+    for k in range(3):
+        append(logs.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k), base, "logs")
+    compact(s, base, today="2024-02-01")
+    return scan(s, base, "logs").groupBy("service").agg(q.rows().alias("cnt"), F.countDistinct("id").alias("ids"), F.count("exception_type").alias("failed"))
+
+
+@query("""SELECT id, service, "timestamp", level, message FROM logs WHERE date = '2024-01-07' AND service = 'svc-2' ORDER BY coalesce(message, 'null') DESC, id LIMIT 50""", "logs")
+def sorted_by_text(s, d):
+    own = L(s, d).filter("date = '2024-01-07' AND service = 'svc-2'").select("id", "service", "timestamp", "level", "message")
+    return q.sort_rows(own, "message", False, "id").limit(50)
+
+
+@query("SELECT id, latency_ms, status_code FROM spans ORDER BY latency_ms DESC, id LIMIT 50", "spans")
+def sorted_by_number(s, d):
+    return q.sort_rows(S(s, d).select("id", "latency_ms", "status_code"), "latency_ms", False, "id").limit(50)
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    """One ingest batch an order, with a span and a metric that have no ids."""
+    rows = derived.read(s, d, "orders").selectExpr(
+        "concat('svc-', o_custkey % 5) AS service_name", "array() AS logs",
+        """array(named_struct('event_id', '', 'correlation_id', concat('corr-', o_custkey), 'parent_correlation_id', CAST(NULL AS STRING), 'name', concat('GET /', o_orderstatus), 'route', '', 'method', 'GET',
+          'status_code', CAST(o_orderkey % 600 AS INT), 'start_time_ns', CAST(o_orderkey * 1000000007 AS BIGINT), 'end_time_ns', CAST(o_orderkey * 1000000007 + 2500 AS BIGINT), 'error', if(o_orderstatus = 'F', 'x', ''), 'kind', 1, 'attributes', map('k', o_orderstatus))) AS spans""",
+        """array(named_struct('event_id', CAST(NULL AS STRING), 'name', 'm', 'timestamp_ns', CAST(o_orderkey * 1000000007 AS BIGINT), 'value', CAST(0.5 AS DOUBLE), 'type', 2, 'labels', map('s', o_orderstatus), 'bucket_values', CAST(array() AS ARRAY<DOUBLE>))) AS metrics""",
+    )
+    empty = s.createDataFrame([], BATCH)
+    return rows.select("service_name", F.lit(None).cast("array<struct<x:int>>").alias("none"), "spans", "metrics").withColumn("logs", F.array().cast(empty.schema["logs"].dataType)).drop("none")
+
+
+def _sized(*parts: str) -> str:
+    return " || '|' || ".join(f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts)
+
+
+def _object(key: str) -> str:
+    return f"""'{{"{key}":"' || o_orderstatus || '"}}'"""
+
+
+@query(f"""SELECT substr(sha256({_sized("'svc-' || (o_custkey % 5)", "'corr-' || o_custkey", "NULL", "'GET /' || o_orderstatus", "''", "'GET'", "o_orderkey % 600", "o_orderkey * 1000000007", "o_orderkey * 1000000007 + 2500", "CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE '' END", "1", _object("k"))}), 1, 16) AS id,
+  o_orderstatus = 'F' AS is_error, CASE WHEN o_orderkey % 600 <> 0 THEN CAST(o_orderkey % 600 AS INTEGER) END AS status_code, 0.0025 AS latency_ms FROM orders""")
+def ingest_span_ids(s, d):
+    return normalise(_batches(s, d))["spans"].select("id", "is_error", "status_code", "latency_ms")
+
+
+@query(f"""SELECT substr(sha256({_sized("'svc-' || (o_custkey % 5)", "'m'", "o_orderkey * 1000000007", "'0.5'", "2", """'{"bucket_values":[]}'""", _object("s"))}), 1, 16) AS id, 0.5 AS value FROM orders""")
+def ingest_metric_ids(s, d):
+    return normalise(_batches(s, d))["metrics"].select("id", "value")
 
 
 #: Plain SQL that Spark and DuckDB both read, through the guarded endpoint, uncapped for the comparison.
@@ -447,7 +580,8 @@ PASSED = {
     "join_right": "SELECT r_name, count(n_nationkey) AS nations FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 10 GROUP BY r_name",
     "join_full": "SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON c_nationkey = s_nationkey",
     "join_semi": "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
-    "join_anti": "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
+    "join_anti": "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000",
+    "join_lateral": "SELECT n_name, t.cnt FROM nation, LATERAL (SELECT count(*) AS cnt FROM supplier WHERE s_nationkey = n_nationkey) t",
     "join_theta": "SELECT a.r_name AS low, b.r_name AS high FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
     "join_using": "SELECT n_nationkey, a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b USING (n_nationkey)",
     "cross_join_count": "SELECT count(*) AS cnt FROM nation CROSS JOIN region",
@@ -466,14 +600,53 @@ PASSED = {
     "count_distinct": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey <= 12",
+    "except_all": "SELECT o_orderstatus AS k FROM orders WHERE o_custkey < 40 EXCEPT ALL SELECT o_orderstatus FROM orders WHERE o_custkey < 9",
+    "intersect_all": "SELECT o_orderpriority AS k FROM orders WHERE o_custkey < 40 INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_custkey BETWEEN 20 AND 60",
+    "union_all": "SELECT n_name AS k FROM nation UNION ALL SELECT r_name FROM region",
+    "derived_table": "SELECT k, count(*) AS cnt FROM (SELECT c_nationkey % 3 AS k FROM customer) GROUP BY k",
+    "scalar_in_select": "SELECT n_name, (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS top FROM nation",
+    "window_percent_rank": "SELECT event_id, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "window_nth_last": "SELECT event_id, nth_value(event_id, 2) OVER w AS second, last_value(event_id) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "window_range": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near FROM events",
+    "grouping_id": "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS g1, grouping(o_orderpriority) AS g2, count(*) AS cnt FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "correlation": "SELECT event_type, round(corr(value, event_id), 6) AS c, round(covar_pop(value, event_id), 2) AS cov, round(median(value), 6) AS mid, round(stddev_pop(value), 6) AS sp FROM events GROUP BY event_type",
+    "dates": "SELECT event_id, extract(year FROM ts) AS y, extract(month FROM ts) AS m, extract(day FROM ts) AS dd, extract(hour FROM ts) AS h, extract(quarter FROM ts) AS q, CAST(ts AS DATE) AS on_day, last_day(CAST(ts AS DATE)) AS month_end, CAST(ts AS DATE) + INTERVAL '2' DAY > DATE '2024-01-15' AS late FROM events",
+    "date_arithmetic": "SELECT event_id, ts - INTERVAL '90' MINUTE AS before, ts >= TIMESTAMP '2024-01-10 00:00:00' AS later, make_date(2024, 1, CAST(event_id % 28 AS INT) + 1) AS made FROM events",
+    "math": "SELECT event_id, round(sqrt(value), 6) AS sq, round(ln(value + 1), 6) AS l, round(exp(value / 100), 6) AS e, round(power(value, 2), 4) AS p, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, abs(event_id - 500) AS a, mod(event_id, 7) AS md, sign(value - 50) AS sg, greatest(event_id, user_id) AS g, least(event_id, user_id) AS ls, round(sin(value), 6) AS sn FROM events",
+    "strings_more": "SELECT c_custkey, trim('  ' || c_name || ' ') AS t, lpad(c_name, 25, '*') AS lp, rpad(c_name, 25, '-') AS rp, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 4) AS rt, instr(c_name, '#') AS at, regexp_replace(c_name, '0+', '0') AS rr, regexp_extract(c_name, '#0*([0-9]+)', 1) AS rx, split_part(c_name, '#', 2) AS sp, translate(c_name, '#0', '-o') AS tr, ascii(c_name) AS asc, repeat('ab', 2) AS rep, concat_ws('/', c_name, 'x') AS cw FROM customer",
+    "conditionals": "SELECT event_id, coalesce(nullif(event_type, 'view'), 'seen') AS c, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS k, value BETWEEN 10 AND 20 AS mid, event_type IN ('click', 'view') AS often, event_type LIKE 'p%' AS p, event_type NOT LIKE '%r%' AS no_r FROM events",
     "cte_limit": "WITH a AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3) SELECT o_orderkey FROM a",
     "statistics": "SELECT event_type, round(stddev(value), 4) AS sd, round(variance(value), 3) AS var, round(min(value), 4) AS low, round(avg(value), 4) AS mean FROM events GROUP BY event_type",
     "strings": "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, substring(c_name, 1, 5) AS s, replace(c_name, '#', '-') AS r, length(c_name) AS n, concat(c_name, '!') AS c FROM customer",
     "conditional_aggregates": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, bool_or(value > 99) AS any_top, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS low FROM events GROUP BY event_type",
 }
 #: Where an integer type differs between the engines.
-CASTS = {"window_rank": ("rn", "rk", "dr", "nt"), "conditional_aggregates": ("low",), "strings": ("n",)}
+CASTS = {
+    "window_rank": ("rn", "rk", "dr", "nt"), "conditional_aggregates": ("low",), "strings": ("n",), "grouping_id": ("g1", "g2"), "dates": ("y", "m", "dd", "h", "q"), "strings_more": ("at", "asc"),
+    "conditionals": ("k",), "math": ("a", "md", "sg", "g", "ls"),
+}
+
+
+@query("""SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, len(list(event_id)) AS n, list_contains(list(event_type), 'error') AS failed, list_sort(list(event_id))[1] AS first, list_slice(list_sort(list(event_id)), 1, 3) AS three,
+  list_sum(list_transform(list(event_id), lambda x: x % 5)) AS fives, len(list_filter(list(value), lambda v: v > 50)) AS high, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS joined FROM events GROUP BY user_id""")
+def array_functions(s, d):
+    e = derived.read(s, d, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"), F.collect_list("event_type").alias("types"), F.collect_list("value").alias("values"))
+    kinds, ids = F.array_sort(F.array_distinct("types")), F.array_sort("ids")
+    return e.select(
+        "user_id", kinds.alias("kinds"), F.size("ids").cast("long").alias("n"), F.array_contains("types", "error").alias("failed"), F.element_at(ids, 1).alias("first"), F.slice(ids, 1, 3).alias("three"),
+        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x % 5).alias("fives"), F.size(F.filter("values", lambda v: v > 50)).cast("long").alias("high"), F.array_join(kinds, "+").alias("joined"),
+    )
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT user_id, map_from_entries(list((event_type, n))) AS m FROM c GROUP BY user_id)
+  SELECT user_id, list_sort(map_keys(m)) AS keys, list_sort(map_values(m)) AS counts, len(map_keys(m)) AS n_keys, m['view'] AS views, list_contains(map_keys(m), 'error') AS failed FROM m""")
+def map_functions(s, d):
+    c = derived.read(s, d, "events").groupBy("user_id", "event_type").agg(q.rows().alias("n"))
+    m = c.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return m.select("user_id", F.array_sort(F.map_keys("m")).alias("keys"), F.array_sort(F.map_values("m")).alias("counts"), F.size("m").cast("long").alias("n_keys"), F.col("m")["view"].alias("views"), F.map_contains_key("m", "error").alias("failed"))
+
+
 
 
 def _pass(name: str, text: str) -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideglass.functions.columns import HEALTH_CLASSES, STATUS_BUCKETS, health, json_get_str, minute_bucket, status_bucket
 from tideglass.plans.predicates import Predicate, arms, where
@@ -89,12 +90,15 @@ def requests(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> DataFram
     return typed.unionByName(http.select("service", F.col("a")[STATUS_KEY].alias("status_code"), F.col("a")[LATENCY_KEY].try_cast("double").alias("latency_ms")))
 
 
-def percentiles(**named: float) -> list[Column]:
-    return [F.percentile_approx("latency_ms", p, ACCURACY).alias(name) for name, p in named.items()]
+def percentiles(**named: float) -> tuple[Column, list[Column]]:
+    """One digest for all shares (an aggregate called ``ps``), and the columns that take it apart."""
+    digest = F.percentile_approx("latency_ms", list(named.values()), ACCURACY).alias("ps")
+    return digest, [F.get("ps", F.lit(i)).alias(name) for i, name in enumerate(named)]
 
 
 def latency_percentiles(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> DataFrame:
-    return requests(spans, logs, ps).agg(*percentiles(p50=0.5, p90=0.9, p95=0.95, p99=0.99))
+    digest, columns = percentiles(p50=0.5, p90=0.9, p95=0.95, p99=0.99)
+    return requests(spans, logs, ps).agg(digest).select(*columns)
 
 
 def status_codes(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> DataFrame:
@@ -103,8 +107,9 @@ def status_codes(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> Data
 
 def latency_by_service(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> DataFrame:
     """Sum and count stay apart, so partial results can be added; the count holds null latencies too."""
-    out = requests(spans, logs, ps).groupBy("service").agg(F.sum("latency_ms").alias("s"), rows().alias("cnt"), *percentiles(p50=0.5, p95=0.95, p99=0.99))
-    return out.select("service", F.round("s", 2).alias("sum_ms"), "cnt", F.round(F.col("s") / F.col("cnt"), 2).alias("avg_ms"), "p50", "p95", "p99")
+    digest, columns = percentiles(p50=0.5, p95=0.95, p99=0.99)
+    out = requests(spans, logs, ps).groupBy("service").agg(F.sum("latency_ms").alias("s"), rows().alias("cnt"), digest)
+    return out.select("service", F.round("s", 2).alias("sum_ms"), "cnt", F.round(F.col("s") / F.col("cnt"), 2).alias("avg_ms"), *columns)
 
 
 def request_count(spans: DataFrame, logs: DataFrame, ps: Predicates = ()) -> DataFrame:
@@ -143,7 +148,8 @@ def histogram_filled(logs: DataFrame, start_micros: int, end_micros: int, granul
     """Counts by bucket and (lower-cased) level over a full range, zeros included.
 
     Rows outside the range and with a null or blank level do not count. Without any row there are four
-    zero series. The spine has a row for each bucket and level, whatever the number of events.
+    zero series. Counts of a level are folded into a map by bucket, as long as the range, and unfolded over it:
+    levels are free text, so nothing about them is broadcast or joined.
     """
     spark = logs.sparkSession
     step = F.expr(f"INTERVAL {STEPS[granularity]}")
@@ -157,11 +163,10 @@ def histogram_filled(logs: DataFrame, start_micros: int, end_micros: int, granul
     first, last = floor(F.timestamp_micros(F.lit(start_micros))), F.timestamp_micros(F.lit(end_micros))
     kept = logs.filter(where(ps)).filter((level != "") & (F.col("timestamp") >= first) & (F.col("timestamp") <= last))
     counts = kept.groupBy(floor(F.col("timestamp")).alias("bucket"), level.alias("level")).agg(rows().alias("cnt"))
-    buckets = spark.range(1).select(F.explode(F.sequence(first, last, step)).alias("bucket"))
-    seen = counts.agg(F.sort_array(F.collect_set("level")).alias("ls"))
-    levels = seen.select(F.explode(F.when(F.size("ls") > 0, F.col("ls")).otherwise(F.array(*map(F.lit, DEFAULT_SERIES)))).alias("level"))
-    spine = buckets.join(F.broadcast(levels))
-    return spine.join(F.broadcast(counts), ["bucket", "level"], "left").select("bucket", "level", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    per = counts.groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("by"))
+    none = spark.createDataFrame([(x,) for x in DEFAULT_SERIES], "level string").join(F.broadcast(kept.select(F.lit(1).alias("any")).limit(1)), F.lit(True), "left_anti")
+    every = per.unionByName(none.withColumn("by", F.create_map().cast("map<timestamp,bigint>")))
+    return every.withColumn("bucket", F.explode(F.sequence(first, last, step))).select("bucket", "level", F.coalesce(F.col("by")[F.col("bucket")], F.lit(0)).alias("cnt"))
 
 
 LABELS = {"minute": "HH:mm", "hour": "MM/dd HH:00", "12-hour": "MM/dd HH:00", "day": "MM/dd"}
@@ -200,6 +205,16 @@ def sparkline_series(logs: DataFrame, ps: Predicates = ()) -> DataFrame:
     return sparkline(logs, ps).groupBy("service").agg(F.transform(pairs, lambda x: x["cnt"]).alias("counts"))
 
 
+def sort_rows(df: DataFrame, column: str, ascending: bool = True, *then: str) -> DataFrame:
+    """Rows by one column: numbers by value, everything else by its text; nulls as the text ``null``. ``then``: by
+    these among equals."""
+    number = df.schema[column].dataType
+    own = F.col(column)
+    if not isinstance(number, T.NumericType):
+        own = F.coalesce(own.cast("string"), F.lit("null"))
+    return df.orderBy(own.asc() if ascending else own.desc(), *then)
+
+
 def service_inventory(logs: DataFrame, detected: DataFrame, ps: Predicates = ()) -> DataFrame:
     """Services that are detected (name, framework), active, or both."""
     active = service_health(logs, ps).withColumnRenamed("service", "name")

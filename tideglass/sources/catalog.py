@@ -53,9 +53,14 @@ class Catalog:
         return self.spark.table(name)
 
 
-def append(df: DataFrame, base: str, name: str) -> None:
-    """Add rows as one file a partition; rows within it are in time order, which makes statistics useful."""
-    kept = df.select(*TABLES[name].names).repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, EVENT_TIME[name])
-    kept.write.mode("append").partitionBy(*PARTITIONS).parquet(table_path(base, name))
+#: Rows of one partition that one task writes at most, about a file of 128 MB.
+FILE_ROWS = 2_000_000
 
 
+def append(df: DataFrame, base: str, name: str, file_rows: int = FILE_ROWS) -> None:
+    """Add rows, as few files a partition; rows within a file are in time order, which makes statistics useful.
+
+    The rebalance before the write brings a partition's rows together, and splits partitions that are large, so
+    that a busy service's day is neither one task nor one file."""
+    kept = df.select(*TABLES[name].names).hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, EVENT_TIME[name])
+    kept.write.mode("append").option("maxRecordsPerFile", file_rows).partitionBy(*PARTITIONS).parquet(table_path(base, name))

@@ -1,24 +1,17 @@
-"""Length-prefixed batches over a Unix or TCP socket, and the write-ahead log of the same frames."""
+"""Length-prefixed batches over a Unix or TCP socket."""
 
 from __future__ import annotations
 
 import json
-import os
 import socketserver
 import struct
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tideglass.schemas import BATCH
+from tideglass.sources import wire
 from tideglass.streaming.ingest import Ack, Front
 
 MOST_BYTES = 16 << 20
-SEGMENT_BYTES = 16 << 20
 
 
 def frames(read) -> Iterator[bytes]:
@@ -33,22 +26,37 @@ def frames(read) -> Iterator[bytes]:
         yield payload
 
 
+def decoded(payload: bytes) -> dict:
+    """A batch from its binary form, or from JSON: an object's brace begins no valid binary batch."""
+    if not payload.startswith(b"{"):
+        return wire.decode(payload)
+    batch = json.loads(payload)
+    if not isinstance(batch, dict):
+        raise ValueError("a batch is an object")
+    return batch
+
+
 def answer(front: Front, payload: bytes) -> Ack:
     """A payload that can't be decoded is refused; the connection goes on."""
     try:
-        batch = json.loads(payload)
-        if not isinstance(batch, dict):
-            raise ValueError("a batch is an object")
+        batch = decoded(payload)
     except ValueError as e:
-        return Ack(False, 0, f"decode error: {e}")
+        return Ack(False, 0, f"decode_error: {e}")
     return front.accept(batch)
 
 
+def response(ack: Ack, payload: bytes) -> bytes:
+    """The acknowledgement, in the form that the batch came in."""
+    if payload.startswith(b"{"):
+        return json.dumps(vars(ack)).encode()
+    return wire.encode({"accepted": ack.accepted, "events_count": ack.events, "error": ack.error}, wire.RESPONSE)
+
+
 class Handler(socketserver.StreamRequestHandler):
     def handle(self) -> None:
         try:
             for payload in frames(self.rfile.read):
-                ack = json.dumps(vars(answer(self.server.front, payload))).encode()
+                ack = response(answer(self.server.front, payload), payload)
                 self.wfile.write(struct.pack("<I", len(ack)) + ack)
                 self.wfile.flush()
         except ConnectionError:
@@ -70,58 +78,3 @@ class UnixServer(socketserver.ThreadingUnixStreamServer):
         self.front = front
         Path(path).unlink(missing_ok=True)
         super().__init__(path, Handler)
-
-
-class Wal:
-    """Segments ``000001.wal``, ...; a frame is length, CRC-32 and payload."""
-
-    def __init__(self, folder: str, segment_bytes: int = SEGMENT_BYTES):
-        self.folder, self.most = Path(folder), segment_bytes
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.number = max((int(p.stem) for p in self.segments()), default=0) + 1
-
-    def segments(self) -> list[Path]:
-        return sorted(self.folder.glob("*.wal"))
-
-    def append(self, payload: bytes) -> None:
-        path = self.folder / f"{self.number:06d}.wal"
-        if path.exists() and path.stat().st_size >= self.most:
-            self.number += 1
-            path = self.folder / f"{self.number:06d}.wal"
-        with path.open("ab") as f:
-            f.write(struct.pack("<II", len(payload), zlib.crc32(payload)) + payload)
-            f.flush()
-            os.fsync(f.fileno())
-
-    def rotate(self) -> list[Path]:
-        """Later frames go to a new segment; returns those that are complete."""
-        self.number += 1
-        return [p for p in self.segments() if int(p.stem) < self.number]
-
-    @staticmethod
-    def parse(raw: bytes) -> Iterator[bytes]:
-        """A segment's frames up to the first that is cut off or corrupt."""
-        at = 0
-        while at + 8 <= len(raw):
-            n, crc = struct.unpack_from("<II", raw, at)
-            payload = raw[at + 8 : at + 8 + n]
-            if len(payload) < n or zlib.crc32(payload) != crc:
-                return
-            yield payload
-            at += 8 + n
-
-    def replay(self, spark: SparkSession) -> DataFrame:
-        """Batches of all segments, oldest first; damage ends its own segment only, and payloads that can't
-        be decoded are passed over. Segments are bounded, so each is read in one task."""
-        files = [str(p) for p in self.segments()]
-        if not files:
-            return spark.createDataFrame([], BATCH)
-        raw = spark.read.format("binaryFile").load(files).select("content")
-
-        def texts(batches):
-            for batch in batches:
-                found = [x.decode(errors="replace") for raw in batch.column(0) for x in Wal.parse(raw.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
-
-        parsed = raw.mapInArrow(texts, "value string").select(F.from_json("value", BATCH).alias("b")).select("b.*")
-        return parsed.filter("service_name IS NOT NULL OR logs IS NOT NULL OR spans IS NOT NULL OR metrics IS NOT NULL")

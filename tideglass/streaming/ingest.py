@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.functions.columns import blank_to_null, content_id, ns_to_timestamp, redact_attributes, sorted_json, utc_date
+from tideglass.operators import compaction
 from tideglass.schemas import BATCH, TABLES
 from tideglass.sources.catalog import append, scan
+from tideglass.sources.wal import Wal
 
-#: Stored ids that a replay is compared with are those of the newest days that hold this many.
-REPLAY_IDS = 50_000
 MAX_BUFFERED = 500_000
 
 
@@ -108,34 +108,66 @@ class Tail:
                     pass
 
 
-def read_landing(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Batches as they land; a line that is no valid batch becomes nulls and yields no rows."""
-    return spark.readStream.schema(BATCH).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE").json(landing)
+def read_landing(spark: SparkSession, landing: str, files_per_trigger: int = 1000, done: str | None = None) -> DataFrame:
+    """Batches as they land; a line that is no valid batch becomes nulls and yields no rows. Files that are done
+    move to ``done``, so that the folder that is listed stays small."""
+    reader = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE")
+    if done:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", done)
+    return reader.json(landing)
 
 
 def start(
     spark: SparkSession, landing: str, base: str, checkpoint: str, tail: Tail | None = None, once: bool = False, interval: str = "2 seconds",
-    replay_dedup: bool = True, redact: bool = False,
+    replay_dedup: bool = True, redact: bool = False, front: Front | None = None, done: str | None = None,
 ):
     """The ingest query. Checkpoint and landing directory are its log: after a crash the last micro-batch runs
-    again, and with ``replay_dedup`` rows that it had already stored are not stored twice."""
+    again, and with ``replay_dedup`` rows that it had already stored are not stored twice: the first micro-batch
+    of a run, the only one that may be such a replay, is compared with the ids stored for its days. Later ones are
+    not compared with the store. ``front`` is told what has been stored, so that it accepts more."""
+    first = True
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        nonlocal first
         batch.persist()
         try:
             for name, rows in normalise(batch, redact).items():
                 if replay_dedup:
-                    rows = fresh(rows, scan(spark, base, name))
+                    rows = fresh(rows, scan(spark, base, name)) if first else rows.dropDuplicates(["id"])
+                rows = rows.persist()
                 append(rows, base, name)
                 if tail:
                     tail.publish(name, rows)
+                rows.unpersist()
+            if front:
+                n = [F.coalesce(F.sum(F.size(F.coalesce(t, F.array()))), F.lit(0)) for t in TABLES]
+                front.stored(batch.agg(sum(n[1:], n[0]).alias("n")).first().n)
         finally:
             batch.unpersist()
+        first = False
 
-    writer = read_landing(spark, landing).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = read_landing(spark, landing, done=done).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def recover(spark: SparkSession, base: str, log: Wal, redact: bool = False) -> int:
+    """Start-up: clear leftovers and finish recorded merges, then store what the write-ahead log holds and the
+    store does not, and drop the log. Returns how many rows of the log were new. Running it again, after a crash
+    at any point, stores nothing twice, as rows are compared by id."""
+    if "://" not in base:
+        compaction.recover(base)
+    replayed, n = log.replay(spark), 0
+    if log.segments():
+        complete = log.rotate()
+        for name, rows in normalise(replayed, redact).items():
+            new = fresh(rows, scan(spark, base, name)).persist()
+            n += new.count()
+            append(new, base, name)
+            new.unpersist()
+        log.drop(complete)
+    return n
+
+
 @dataclass
 class Ack:
     accepted: bool
@@ -145,30 +177,67 @@ class Ack:
 
 class Front:
     """Takes batches from clients into the landing directory. A batch is one file, renamed into place, so the
-    stream sees all of it or nothing. Refuses while recovering, and beyond ``capacity`` events not yet stored."""
+    stream sees all of it or nothing. With a ``log``, batches are written ahead to it first and land together, one
+    file for those of ``settle``; a batch is acknowledged once it is in the log. Refuses while recovering, and
+    beyond ``capacity`` events not yet stored."""
 
-    def __init__(self, landing: str, capacity: int = MAX_BUFFERED):
-        self.landing, self.capacity, self.waiting, self.dropped, self.recovering = Path(landing), capacity, 0, 0, False
-        self.lock = threading.Lock()
+    def __init__(self, landing: str, capacity: int = MAX_BUFFERED, log: Wal | None = None):
+        self.landing, self.capacity, self.waiting, self.dropped, self.recovering, self.log = Path(landing), capacity, 0, 0, False, log
+        self.lock, self.held = threading.Lock(), []
         self.landing.mkdir(parents=True, exist_ok=True)
 
+    def start_up(self, spark: SparkSession, base: str) -> int:
+        """Recover from the log before anything is accepted."""
+        self.recovering = True
+        try:
+            return recover(spark, base, self.log) if self.log else 0
+        finally:
+            self.recovering = False
+
     def accept(self, batch: dict) -> Ack:
-        n = sum(len(batch.get(t) or ()) for t in TABLES)
+        return self.accept_all([batch])[0]
+
+    def accept_all(self, batches: list[dict]) -> list[Ack]:
+        """Acknowledge several batches with one write to disk."""
+        acks, taken = [], []
         with self.lock:
-            if self.recovering:
-                return Ack(False, 0, "startup_recovery_in_progress")
-            if self.waiting + n > self.capacity:
-                self.dropped += n
-                return Ack(False, 0, "buffer_full")
-            self.waiting += n
+            for batch in batches:
+                n = sum(len(batch.get(t) or ()) for t in TABLES)
+                if self.recovering:
+                    acks.append(Ack(False, 0, "startup_recovery_in_progress"))
+                elif self.waiting + n > self.capacity:
+                    self.dropped += n
+                    acks.append(Ack(False, 0, "buffer_full"))
+                else:
+                    self.waiting += n
+                    acks.append(Ack(True, n))
+                    taken.append(json.dumps(batch, separators=(",", ":")))
+            if taken and self.log:
+                self.log.extend([x.encode() for x in taken])
+                self.held += taken
+        if taken and not self.log:
+            self.land(taken)
+        return acks
+
+    def land(self, lines: list[str]) -> None:
         path = self.landing / f"{uuid.uuid4().hex}.json"
         hidden = self.landing / f".{path.name}"
         with hidden.open("w") as f:
-            f.write(json.dumps(batch, separators=(",", ":")) + "\n")
+            f.write("\n".join(lines) + "\n")
             f.flush()
             os.fsync(f.fileno())
         os.replace(hidden, path)
-        return Ack(True, n)
+
+    def settle(self) -> int:
+        """Let the logged batches land, and drop the segments that held them; returns how many there were. The
+        landing directory is durable itself, so the log needs them no longer."""
+        with self.lock:
+            lines, self.held = self.held, []
+            complete = self.log.rotate() if lines else []
+        if lines:
+            self.land(lines)
+            self.log.drop(complete)
+        return len(lines)
 
     def stored(self, n: int) -> None:
         with self.lock:

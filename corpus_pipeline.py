@@ -13,27 +13,42 @@ from tideglass.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels, does not reject."""
+    """Documents that the quality classifier, fitted on the labels, does not reject.
+
+    Null and empty texts get the score of a text without features; a score of just 0.5 stays; repeated rows and null
+    ids are judged like others; without labels all stay. An empty table gives an empty result."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the one of the least id.
+
+    Null, empty and blank texts and null ids are in no class and stay; of rows that repeat an id one stays; a
+    similarity of just 0.75 links. An empty table gives an empty result."""
     return drop_near_duplicates(docs, width=5, percent=75)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; items without words are in no document; a containment of just 0.75 counts;
+    repeated rows are judged alike. An empty table gives an empty result, and without items all rows stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), width=5, threshold=0.75)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated (or left out) so that sources have their target shares, in a global shuffle."""
+    """Documents repeated (or left out) so that sources have their target shares, in a global shuffle.
+
+    A null source is a source of its own; a null id is drawn by its text; rows that repeat an id are drawn alike. An
+    empty table gives an empty result."""
     return mix_sources(docs, temperature=2.0, epochs=1.0, seed="mix").select(*docs.columns)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its slot there."""
+    """Every document with its shard and its slot there.
+
+    A null text counts no bytes; a null id is keyed by its text and stands last in its block; repeated rows share a
+    shard and get a slot each. An empty table gives an empty result."""
     return shard(docs, shards=24)
 
 

@@ -13,7 +13,7 @@ from tideglass.operators.compaction import compact
 from tideglass.operators.endpoint import Endpoint, QueryError, guard
 from tideglass.plans import telemetry as q
 from tideglass.plans.filters import Chip, FilterState
-from tideglass.plans.predicates import AnyText, Contains, OneOf, Since, Status, StatusClasses, UnsupportedPredicate
+from tideglass.plans.predicates import AnyText, Contains, OneOf, Since, Status, StatusClasses, UnsupportedPredicate, parse, where
 from tideglass.schemas import BATCH
 from tideglass.sources import derived
 from tideglass.sources.catalog import append, scan
@@ -485,6 +485,48 @@ def json_functions(s, d):
       coalesce(json_get(j, 'in') ->> 'deep', '') AS nested, json_as_text(json_get_array(j, 'list')[2], 'k') AS inner_k, json_length(j) AS n_items, j ? 'n' AS has_n, j -> 'list' ->> 1 AS second FROM json_events""", cap=False)
 
 
+EPOCH = "o_orderkey * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000000 WHEN 2 THEN 100000000000 ELSE 1000000000000000 END"
+
+
+@query(f"""SELECT o_orderkey, make_timestamp(o_orderkey * 1000003) AS micros, make_timestamp(o_orderkey * 1000000007 // 1000) AS nanos, strftime(make_timestamp(o_orderkey * 1000000007 // 1000), '%Y-%m-%d') AS on_day,
+  CASE WHEN o_orderkey % 600 >= 500 THEN 'error' WHEN o_orderkey % 600 >= 400 THEN 'warn' WHEN o_orderkey % 7 <> 0 THEN 'info' END AS level, nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END, '') AS state,
+  CASE WHEN o_orderkey % 600 >= 500 THEN 'server_error' WHEN o_orderkey % 600 >= 400 THEN 'client_error' WHEN o_orderkey % 600 >= 300 THEN 'redirect' WHEN o_orderkey % 600 > 0 THEN 'success' END AS bucket,
+  CASE WHEN n >= 1000000000000000 THEN make_timestamp(n % 1000000000000000 + 1000000000000000) WHEN n >= 1000000000000 THEN make_timestamp((n % 1000000000000 + 1000000000000) * 1000) WHEN n >= 1000000000 THEN make_timestamp((n % 1000000000 + 1000000000) * 1000000) END AS seen
+  FROM (SELECT *, {EPOCH} AS n FROM (SELECT *, o_orderkey % 9 + 1 AS o FROM orders) x)""".replace("o_orderkey * CASE", "o * CASE"))
+def scalar_helpers(s, d):
+    k = F.col("o_orderkey")
+    n = F.expr(EPOCH.replace("o_orderkey * CASE", "(o_orderkey % 9 + 1) * CASE"))
+    sized = F.when(n >= 10**15, n % 10**15 + 10**15).when(n >= 10**12, n % 10**12 + 10**12).when(n >= 10**9, n % 10**9 + 10**9)
+    status = F.when((k % 600 >= 400) | (k % 7 != 0), k % 600)
+    return derived.read(s, d, "orders").select(
+        k, fc.to_timestamp_micros(k * 1000003).alias("micros"), fc.ns_to_timestamp(k * 1000000007).alias("nanos"), fc.utc_date(fc.ns_to_timestamp(k * 1000000007)).alias("on_day"), fc.level_from_status(status).alias("level"),
+        fc.blank_to_null(F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))).alias("state"), fc.status_bucket((k % 600).cast("string")).alias("bucket"), fc.epoch_to_timestamp(sized).alias("seen"),
+    )
+
+
+@query("SELECT event_type, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.95) AS high, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 12:00:00') AS late FROM events GROUP BY event_type")
+def exact_percentiles(s, d):
+    derived.read(s, d, "events").createOrReplaceTempView("events")
+    return Endpoint(s).plan("SELECT event_type, percentile(value, 0.5) AS mid, percentile(value, 0.95) AS high, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 12:00:00') AS late FROM events GROUP BY event_type", cap=False)
+
+
+CLAUSES = f"service IN ('svc-1','it''s') AND level IN ('error','warn') AND (message LIKE '%user 1%' OR level = 'user 1') AND timestamp > to_timestamp_micros({NOW_MICROS - 20 * DAY})"
+
+
+@query(f"""SELECT service, level, count(*) AS cnt FROM logs WHERE service IN ('svc-1','it''s') AND level IN ('error','warn') AND (message LIKE '%user 1%' OR level = 'user 1') AND "timestamp" > {at(NOW_MICROS - 20 * DAY)} GROUP BY 1, 2""", "logs")
+def filter_read_from_text(s, d):
+    """Clauses as text, split outside quotes and parentheses and read back as predicates."""
+    return L(s, d).filter(where(parse(f"WHERE {CLAUSES}"))).groupBy("service", "level").agg(q.rows().alias("cnt"))
+
+
+@query(f"""SELECT service, count(*) AS cnt FROM logs WHERE service IN ('svc-1', 'svc-2') AND level IN ('warn', 'error') AND message LIKE '%user 1%' AND "timestamp" > {at(NOW_MICROS - 7 * DAY)} GROUP BY service""", "logs")
+def filter_from_url(s, d):
+    """A filter state written to URL parameters, read back, and compiled."""
+    state = FilterState("", [Chip(None, "user 1")], ["svc-1", "svc-2"], "Last 7 days", ["warn", "error"], {})
+    again = FilterState.from_params(state.to_params())
+    return L(s, d).filter(where(again.predicates(NOW_MICROS))).groupBy("service").agg(q.rows().alias("cnt"))
+
+
 def _store(s: SparkSession, name: str) -> str:
     """A fresh store in a folder that the driver and all executors share."""
     shared = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")

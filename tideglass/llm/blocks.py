@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import materialise, parts, pick
+from tideglass.llm.common import materialise, parts, pick, text_bytes
 
 U64 = np.uint64
 WORD_STEP, GRAM_STEP, CHECK_STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+GROUP_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
 #: Cells that a group ships at most, and groups whose cells are merged in a bundle, where there are more ranges.
 FAN = 1024
 
@@ -242,8 +242,8 @@ class Dealt:
 
     def __init__(self, rows: DataFrame, groups: int, ranges: int, order: list[str], size: int):
         self.groups, self.ranges, self.order = groups, ranges, order
-        self.coarse = min(ranges, FAN)
-        self.rows = rows.repartition(parts(rows.sparkSession, size), "grp")
+        self.coarse, self.tasks = min(ranges, FAN), parts(rows.sparkSession, size)
+        self.rows = rows.repartition(self.tasks, "grp")
 
     def __getstate__(self):  # functions that run in tasks take numbers along, no tables
         return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
@@ -256,7 +256,11 @@ class Dealt:
         opened, schema = self.opened, schema or CELL_DDL
         if heard is None:
             return self.rows.groupBy("grp").applyInArrow(lambda t: fn(grp_of(t), opened(t), None), schema)
-        return self.rows.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: fn(grp_of(t), opened(t), a), schema)
+        return self.rows.groupBy("grp").cogroup(self.by(heard, "grp")).applyInArrow(lambda t, a: fn(grp_of(t), opened(t), a), schema)
+
+    def by(self, df: DataFrame, *keys: str):
+        """Rows grouped by keys, over as many tasks as the input's bytes ask for."""
+        return df.repartition(self.tasks, *keys).groupBy(*keys)
 
     def ask(self, grp: int, level: int, hashes: np.ndarray, *extra: np.ndarray) -> list[tuple]:
         return cells(grp, level, hashes, self.coarse, *extra)
@@ -271,7 +275,7 @@ class Dealt:
             return replies(t, fn(*every), ends)
 
         if self.coarse == self.ranges:
-            return asked.groupBy("rng", "level").applyInArrow(reply, CELL_DDL)
+            return self.by(asked, "rng", "level").applyInArrow(reply, CELL_DDL)
 
         def unmerge(t: pa.Table, got: pa.Table) -> pa.Table:
             t = t.sort_by("grp")
@@ -282,13 +286,13 @@ class Dealt:
             return replies(t, out, ends)
 
         asked, merged = self.bundled(asked, dtypes)
-        got = merged.groupBy("rng", "level").applyInArrow(reply, CELL_DDL).withColumn("wide", F.floor(F.col("rng") / F.lit(self.ranges // self.coarse)))
-        return asked.groupBy("bundle", "rng", "level").cogroup(got.groupBy("grp", "wide", "level")).applyInArrow(unmerge, CELL_DDL)
+        got = self.by(merged, "rng", "level").applyInArrow(reply, CELL_DDL).withColumn("wide", F.floor(F.col("rng") / F.lit(self.ranges // self.coarse)))
+        return self.by(asked, "bundle", "rng", "level").cogroup(self.by(got, "grp", "wide", "level")).applyInArrow(unmerge, CELL_DDL)
 
     def reduce(self, asked: DataFrame, fn, schema: str, *dtypes) -> DataFrame:
         """``fn(level, hashes, *extra) -> table`` for each hash range and level; nothing goes back to the groups."""
         rows = asked if self.coarse == self.ranges else self.bundled(asked, dtypes)[1]
-        return rows.groupBy("rng", "level").applyInArrow(lambda t: fn(t.column("level")[0].as_py(), *joined(t, dtypes)[0]), schema)
+        return self.by(rows, "rng", "level").applyInArrow(lambda t: fn(t.column("level")[0].as_py(), *joined(t, dtypes)[0]), schema)
 
     def bundled(self, asked: DataFrame, dtypes) -> tuple[DataFrame, DataFrame]:
         """The cells with their bundle; the cells of each bundle and coarse range merged and cut by fine range."""
@@ -300,7 +304,7 @@ class Dealt:
             return to_cells(cells(t.column("bundle")[0].as_py(), t.column("level")[0].as_py(), every[0][order], ranges, *(x[order] for x in every[1:])))
 
         asked = asked.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-self.groups // FAN)))))
-        return asked, asked.groupBy("bundle", "rng", "level").applyInArrow(merge, CELL_DDL)
+        return asked, self.by(asked, "bundle", "rng", "level").applyInArrow(merge, CELL_DDL)
 
 
 def joined(t: pa.Table, dtypes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -315,17 +319,21 @@ def replies(t: pa.Table, got: np.ndarray, ends: np.ndarray) -> pa.Table:
 
 
 class Grouped(Dealt):
-    """Documents packed into groups of about ``group_bytes`` of text, each compressed and kept in the shared
-    folder, so that all passes see the same groups, whatever executor is lost. A group is cut from one partition:
-    rows that repeat, however often, fill groups like any others, and only a single longer text exceeds one."""
+    """Documents packed into groups of about ``group_bytes`` of text, each compressed. A group is cut from one
+    partition: rows that repeat, however often, fill groups like any others, and only a single longer text exceeds
+    one.
+
+    All passes must see the same groups, whatever executor is lost. A plain scan gives its rows in one order every
+    time, so groups of a lost task come out as they were; those of any other input are written to the shared folder."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 0, range_bytes: int = 0):
         group_bytes, range_bytes = group_bytes or GROUP_BYTES, range_bytes or RANGE_BYTES
         rows = pick(docs, doc_id=(doc_id, "long"), text=(text, "string"))
-        packed = materialise(rows.mapInArrow(lambda batches: pack(batches, group_bytes), "grp long, size long, data binary"), "groups")
-        total = packed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("packed")).first()
-        self.kept = packed.select("grp", "data")
-        super().__init__(self.kept, total.n, 1 << max(0, total["size"] // range_bytes).bit_length(), [], total.packed)
+        packed = rows.mapInArrow(lambda batches: pack(batches, group_bytes), "grp long, data binary")
+        n = text_bytes(rows)
+        groups, ranges = -(-n // group_bytes), 1 << max(0, n // range_bytes).bit_length()
+        self.kept = None if replayable(rows) else materialise(packed, "groups")
+        super().__init__(self.kept or packed, groups, ranges, [], n // 2)
 
     def opened(self, t: pa.Table) -> pa.Table:
         """A group's documents; it has one row, but for a group that only answers name."""
@@ -334,7 +342,7 @@ class Grouped(Dealt):
     def emit(self, fn, heard: DataFrame | None = None, schema: str = "") -> DataFrame:
         if heard is not None:
             return super().emit(fn, heard, schema)
-        opened = self.opened
+        opened, rows = self.opened, self.kept or self.rows
 
         def each(batches):
             for batch in batches:
@@ -342,14 +350,29 @@ class Grouped(Dealt):
                     t = pa.Table.from_batches([batch.slice(k, 1)])
                     yield from fn(grp_of(t), opened(t), None).to_batches()
 
-        return self.kept.mapInArrow(each, schema or CELL_DDL)
+        return rows.mapInArrow(each, schema or CELL_DDL)
+
+
+#: Logical operators that give the same rows in the same order and partitions every time they run.
+SCANNING_NODES = frozenset({"LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "Range", "Project", "Filter", "SubqueryAlias"})
+
+
+def replayable(df: DataFrame) -> bool:
+    """Whether a frame is a scan of files with nothing but projections and filters above it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, ok = [plan], plan.deterministic()
+    while todo and ok:
+        p = todo.pop()
+        ok = p.getClass().getSimpleName() in SCANNING_NODES
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return ok
 
 
 GROUP = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def pack(batches, most: int):
-    """Rows (grp, size, data) of documents, by id within a group (null last); groups are numbered by partition."""
+    """Rows (grp, data) of documents, by id within a group (null last); groups are numbered by partition."""
     number = TaskContext.get().partitionId() << 32
     kept: list[pa.RecordBatch] = []
     size = 0
@@ -359,7 +382,7 @@ def pack(batches, most: int):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, GROUP, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(pa.Table.from_batches(kept).cast(GROUP).sort_by("doc_id").combine_chunks())
-        row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["grp", "size", "data"])
+        row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["grp", "data"])
         number, kept, size = number + 1, [], 0
         return row
 

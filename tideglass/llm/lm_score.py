@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.blocks import U64, Grouped, Words, answers, distinct, mix, to_cells
+from tideglass.llm.common import pick
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 OUT_DDL = "doc_id long, n_words long, log_score double, mean_log_score double"
@@ -38,7 +39,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, leave_out: b
     if order < 2:
         raise ValueError("order must be 2 at least")
     grouped = Grouped(docs, doc_id, text, **sizes)
-    heard, total = None, corpus_words(grouped)
+    heard, total = None, corpus_words(docs, text)
 
     def ask(n):
         def fn(grp, t, heard):
@@ -150,13 +151,14 @@ def own_counts(w: Words, n: int) -> np.ndarray:
     return out
 
 
-def corpus_words(grouped: Grouped) -> int:
+def corpus_words(docs: DataFrame, text: str) -> int:
     """Words in all texts; one number comes to the driver."""
 
-    def count(grp, t, _):
-        return pa.table({"n": pa.array([sum(len((x or "").encode().split()) for x in t.column("text").to_pylist())], pa.int64())})
+    def count(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([sum(len((x or "").encode().split()) for x in batch.column("text").to_pylist())], pa.int64())})
 
-    return grouped.emit(count, schema="n long").agg(F.sum("n")).first()[0] or 0
+    return pick(docs, text=(text, "string")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def wanted(w: Words, n: int, known: dict) -> np.ndarray:

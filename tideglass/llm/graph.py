@@ -14,6 +14,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round hooks each label to its least neighbour if that is smaller, follows the hooks twice, and
     contracts the links to labels, until none is left between two labels. Links stay distributed; one row
     comes to the driver each round to tell whether any is left.
+
+    Links with a null end and links of a node to itself count for nothing; repeated links and both directions of
+    one are one link. No links give an empty result.
     """
     links = materialise(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b"), "links")
     labels = materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")

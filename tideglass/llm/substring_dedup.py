@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideglass.llm.blocks import CHECK_STEP, U64, Grouped, Words, answers, distinct, repeated, to_cells
+from tideglass.llm.blocks import CELL_DDL, CHECK_STEP, U64, Grouped, Words, answers, distinct, repeated, to_cells
+from tideglass.llm.common import materialise
 
 LAST = np.int64(2**63 - 1)
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -84,6 +85,68 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     return out if keep_text else out.drop("kept_text")
 
 
+def longest_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+    """How long the repeated passages of each text are: doc_id, n_words and longest, the largest of ``window``,
+    twice that, four times that ... at which a sequence of so many words stands at two places of the corpus; 0 if
+    none of ``window`` words does.
+
+    A sequence of twice a length is looked at only where both its halves repeat; the loop ends at the first length
+    that leaves no candidate anywhere. Null and empty texts have no words; equal rows repeat each other; an empty
+    table gives an empty result; further columns, whatever their names, are ignored.
+    """
+    grouped = Grouped(docs, doc_id, text, **sizes)
+    levels: list[int] = []
+    heard = docs.sparkSession.createDataFrame([], CELL_DDL)
+
+    def ask(length, before):
+        def fn(grp, t, heard):
+            w = Words(t.column("text"))
+            at = extended(w, length, repeating(w, before, heard))
+            h, _, _, count = distinct(w.grams(length)[at] & ~U64(1))
+            return to_cells(grouped.ask(grp, length, h | (count > 1).astype(U64)))
+
+        return fn
+
+    while True:
+        length = levels[-1] * 2 if levels else window
+        asked = materialise(grouped.emit(ask(length, list(levels)), heard), "repeat-cells")
+        if not asked.limit(1).count():
+            break
+        heard = heard.unionByName(materialise(grouped.own(asked, repeated), "repeat-answers"))
+        levels.append(length)
+
+    def finish(grp, t, heard):
+        w = Words(t.column("text"))
+        longest = np.zeros(t.num_rows, np.int64)
+        for k in range(len(levels)):
+            at = repeating(w, levels[: k + 1], heard)
+            longest[w.doc[at]] = levels[k]
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(w.count, pa.int64()), "longest": pa.array(longest)})
+
+    return grouped.emit(finish, heard, "doc_id long, n_words long, longest long")
+
+
+def extended(w: Words, length: int, at: np.ndarray | None) -> np.ndarray:
+    """Starts of the sequences of ``length`` words both whose halves are among the repeated ones at ``at``."""
+    if at is None:
+        return np.flatnonzero(w.left >= length)
+    have = np.zeros(len(w.hash), bool)
+    have[at] = True
+    at = at[w.left[at] >= length]
+    return at[have[at + length // 2]]
+
+
+def repeating(w: Words, levels: list[int], heard: pa.Table) -> np.ndarray | None:
+    """Starts of the sequences that repeat at the last of the levels; None before the first one."""
+    at = None
+    for length in levels:
+        at = extended(w, length, at)
+        if len(at):
+            _, _, where, _ = distinct(w.grams(length)[at] & ~U64(1))
+            at = at[answers(heard, length, bool)[where]]
+    return at
+
+
 def lengths(window: int, least: int = 8) -> list[int]:
     """``window`` and its halves (rounded up) down to ``least``, shortest first: each is twice the one before it,
     or up to one word less. A length below ``least`` repeats by chance too often to be worth a pass."""

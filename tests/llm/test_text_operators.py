@@ -12,15 +12,15 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.llm import blocks, near_dup
+from tideglass.llm import blocks, mixing, near_dup
 from tideglass.llm.blocks import Words
 from tideglass.llm.decontaminate import contained_items, drop_contaminated
 from tideglass.llm.lm_score import lm_score, ngram_counts, score_with
 from tideglass.llm.mixing import mix_sources
 from tideglass.llm.near_dup import drop_near_duplicates, near_duplicates
-from tideglass.llm.pii import disguised, find_pii, luhn, plain, spans_of
+from tideglass.llm.pii import digest, disguised, find_pii, luhn, plain, spans_of
 from tideglass.llm.sharding import shard
-from tideglass.llm.substring_dedup import substring_dedup
+from tideglass.llm.substring_dedup import longest_repeats, substring_dedup
 
 SMALL = {"group_bytes": 2000, "range_bytes": 4000}
 
@@ -63,6 +63,18 @@ def test_substring_dedup(corpus, window, fan, monkeypatch):
     assert Counter(map(tuple, substring_dedup(corpus, window, **SMALL).collect())) == want
 
 
+def test_longest_repeats_until_no_candidate_is_left(corpus, empty):
+    texts = [(r.doc_id, words(r.text)) for r in corpus.collect()]
+    want = Counter()
+    seen = {n: Counter(tuple(w[k : k + n]) for _, w in texts for k in range(len(w) - n + 1)) for n in (5 << k for k in range(11))}
+    for i, w in texts:
+        longest = max((n for n, c in seen.items() if any(c[tuple(w[k : k + n])] > 1 for k in range(len(w) - n + 1))), default=0)
+        want[i, len(w), longest] += 1
+    assert len({k[2] for k in want}) > 3
+    assert Counter(map(tuple, longest_repeats(corpus, 5, **SMALL).collect())) == want
+    assert longest_repeats(empty).count() == 0
+
+
 def backoff_want(texts, corpus, order, leave_out):
     """By brute force: words and score of each text under the counts of ``corpus``."""
     grams = [Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)) for w in corpus]
@@ -105,6 +117,19 @@ def test_unseen_texts_back_off_under_a_kept_table(spark, corpus, empty, monkeypa
     assert score_with(empty, table).count() == 0 and ngram_counts(empty).count() == 0
 
 
+def test_groups_of_a_scan_are_not_written(spark, corpus, tmp_path):
+    """A scan is packed again if a task is lost; anything else is kept in the shared folder. Both give the same."""
+    corpus.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert blocks.replayable(docs.select("text")) and blocks.replayable(docs.filter("doc_id > 3"))
+    assert not blocks.replayable(corpus) and not blocks.replayable(docs.repartition(3)) and not blocks.replayable(docs.withColumn("r", F.rand()))
+    assert blocks.Grouped(docs).kept is None and blocks.Grouped(corpus).kept is not None
+    one, two = (Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score(x, **SMALL).collect()) for x in (docs, corpus))
+    assert one == two
+    again = docs.unionByName(docs)  # groups of one hot row fill up like others
+    assert lm_score(again.filter("doc_id = 7").unionByName(docs), **SMALL).count() == docs.count() + again.filter("doc_id = 7").count()
+
+
 def components(sets):
     """By brute force: least id reachable over pairs of 75 % similarity."""
     parent = {i: i for i in sets}
@@ -184,7 +209,9 @@ def test_a_short_item_in_a_document_made_of_many(spark):
     assert got == {(1, k) for k in range(800)} | {(2, 7)}
 
 
-def test_mixing(corpus):
+@pytest.mark.parametrize("most", [2000, 1])  # beyond it sources are joined by salted keys
+def test_mixing(corpus, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     rows = corpus.collect()
     out = mix_sources(corpus, epochs=3.0)
     assert [c.lower() for c in out.columns] == ["doc_id", "text", "lang", "source", "shard", "copies", "copy", "shuffle_key"]
@@ -281,6 +308,23 @@ def test_plain_texts_have_no_further_spans(corpus):
     assert find_pii(corpus).count() == corpus.count()
 
 
+def test_digest_of_personal_data(spark, corpus):
+    """Counts, checksum and spans of the registered query, by hand from the plain patterns."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("ab@@..--++%1 2(0)9é4", k=rnd.randint(1, 90))) for _ in range(300)]
+    texts += ["mail a.b@c.de, 192.168.0.1 and +49 (30) 1234567 or 4111 1111 1111 1111", "é😀 x@y.z joe at example dot com", "", None, "1.1.1.1" * 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x@y.z"), (0, texts[0])], "doc_id long, text string").unionByName(corpus.select("doc_id", "text"))
+    kinds = ("email", "ip", "card", "phone")
+    want = Counter()
+    for r in docs.collect():
+        base = sorted((a, k, b) for a, k, b in plain_want(r.text or ""))
+        every = sorted(set(base) | set(disguised(r.text or "")))
+        line = [",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found) for found in (base, every)]
+        want[(r.doc_id, *(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(line[0].encode()).hexdigest(), line[1])] += 1
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in digest(find_pii(docs)).collect())
+    assert got == want and sum(k[1] > 0 for k in got) > 5
+
+
 def test_empty_tables(spark, empty, items):
     assert not substring_dedup(empty).count() + lm_score(empty).count() + near_duplicates(empty).count() + drop_near_duplicates(empty).count()
     assert not contained_items(empty, items).count() + mix_sources(empty).count() + shard(empty).count() + find_pii(empty).count()
@@ -317,6 +361,13 @@ def test_chance_agreement_of_registers(size):
     assert abs(np.mean(short) - want) < 0.2 * want + 0.4 and long < 20
 
 
+def test_buckets_are_cut_at_size_gaps():
+    h = np.array([5, 5, 5, 9, 5, 9], np.uint64)
+    rep, size = np.array([7, 3, 4, 1, 2, 6]), np.array([100, 76, 200, 10, 60, 10])
+    assert (rep - near_dup.below(h, rep, size, 0.75)).tolist() == [2, 2, 4, 1, 2, 1]  # 60, 76 and 100 hang together, 200 does not
+    assert not len(near_dup.below(h[:0], rep[:0], size[:0], 0.75))
+
+
 @pytest.mark.parametrize("hubs", [False, True])
 def test_spanning_forest_is_that_of_all_links(hubs):
     rnd = np.random.default_rng(4)

@@ -21,7 +21,7 @@ SHORT_ZERO_BITS, SHORT_MANTISSA_BITS = 4, 4
 #: A pair whose estimate lies so many deviations below the threshold is not verified (3e-7 of pairs just at it).
 DEVIATIONS = 5.0
 #: Sets dealt to one group and to one hash range; bytes of sets dealt to one group; bytes of a family's block.
-GROUP_ROWS, RANGE_ROWS, GROUP_BYTES, BLOCK_BYTES = 4096, 32768, 8 << 20, 4 << 20
+GROUP_ROWS, RANGE_ROWS, GROUP_BYTES, BLOCK_BYTES = 4096, 8192, 8 << 20, 4 << 20
 #: Band mates that are estimated together; more of them are a family as they stand, and go to full sets.
 MATES = 1024
 #: Beyond this many ids rows are found by a shuffled join instead of a broadcast.
@@ -132,43 +132,43 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(sign, SIG_DDL)
 
 
-def band_mates(classes: DataFrame, n: int) -> DataFrame:
-    """(a, b): each class and the least one with which it shares a band, once for every such least one.
+def band_mates(classes: DataFrame, n: int, least: float) -> DataFrame:
+    """(a, b): each class and the least one of a bucket, once for every such least one.
 
-    Classes that share a band hang together by these edges, and there is one a class and band at most."""
+    A bucket has the classes that share a band, cut where their sizes leave a gap that no similar pair can span.
+    Its classes hang together by these edges, and there is one a class and band at most."""
     groups = max(1, -(-n // GROUP_ROWS))
     dealt = Dealt(classes.withColumn("grp", F.pmod(F.xxhash64("rep"), F.lit(groups))), groups, 1 << max(0, n // RANGE_ROWS).bit_length(), ["rep"], n * REGISTERS * 2)
 
     def keyed(t: pa.Table):
         keys = band_keys(unpack(t, "regs", np.uint16, REGISTERS))
-        rep = t.column("rep").to_numpy()[np.nonzero(keys)[0]]
-        h, _, where, _ = distinct(keys[keys != 0])
-        least = np.full(len(h), 2**63 - 1)
-        np.minimum.at(least, where, rep)
-        return rep, h, where, least
+        row, key = np.nonzero(keys)[0], keys[keys != 0]
+        order = np.argsort(key, kind="stable")
+        return key[order], t.column("rep").to_numpy()[row[order]], t.column("n").to_numpy()[row[order]]
 
     def ask(grp, t, _):
-        _, h, _, least = keyed(t)
-        return to_cells(dealt.ask(grp, 0, h, least))
+        key, rep, size = keyed(t)
+        return to_cells(dealt.ask(grp, 0, key, rep, size.astype(np.uint32)))
 
     def finish(grp, t, heard):
         if not t.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in "ab"})
-        rep, h, where, least = keyed(t)
-        least = least - answers(heard, 0)
-        pair = np.stack([rep, least[where]])[:, least[where] < rep]
-        pair = np.unique(pair, axis=1)
+        _, rep, _ = keyed(t)
+        first = rep - answers(heard, 0)
+        pair = np.unique(np.stack([rep, first])[:, first < rep], axis=1)
         return pa.table({"a": pair[0], "b": pair[1]})
 
-    return dealt.emit(finish, dealt.own(dealt.emit(ask), below, np.int64), PAIR_DDL)
+    return dealt.emit(finish, dealt.own(dealt.emit(ask), lambda h, rep, size: below(h, rep, size, least), np.int64, np.uint32), PAIR_DDL)
 
 
-def below(h: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """How far the least class of each key is below the least one of its group (mostly 0, which packs well)."""
-    _, _, where, count = distinct(h)
-    every = np.full(len(count), 2**63 - 1)
-    np.minimum.at(every, where, least)
-    return least - every[where]
+def below(h: np.ndarray, rep: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """How far the least class of each one's bucket is below it (0, which packs well, for most)."""
+    order = np.lexsort((size, h))
+    key, n, new = h[order], size[order].astype(float), np.ones(len(h), bool)
+    new[1:] = (key[1:] != key[:-1]) | (n[:-1] < least * n[1:] - 1e-9)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.minimum.reduceat(rep[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return rep - out
 
 
 def close_mates(mates: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, doc_id:
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "regs")).alias("m"))
     classes = materialise(classes.select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), "m.regs"), "near-classes")
-    mates = materialise(band_mates(classes.select("rep", "regs"), classes.count()), "near-mates")
+    mates = materialise(band_mates(classes.select("rep", "n", "regs"), classes.count(), least), "near-mates")
     families = components(close_mates(mates, classes, least))
     shared = materialise(shared_items(materialise(family_sets(rows, families, width), "near-sets"), least), "near-shared")
     found = components(links(shared, percent))
